@@ -50,3 +50,7 @@ class Ctx:
     @cached_property
     def raw_machine(self) -> DataFrame:
         return self.view("v_raw_machine")
+
+    @cached_property
+    def vendor_keys(self) -> DataFrame:
+        return self.view("v_vendor_keys")

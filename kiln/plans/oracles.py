@@ -132,3 +132,131 @@ SELECT printf('REC-%05d', row_index + 1) AS record_id, machine_id, product_id AS
   WHEN pwf = 1 THEN 'Power Failure' WHEN osf = 1 THEN 'Overstrain Failure'
   ELSE 'Random Failure' END AS failure_type
 FROM mapped""", "v_raw_machine")
+
+# --- triage -------------------------------------------------------------------
+
+from kiln.functions.text import keyword_pattern  # noqa: E402
+from kiln.operators.lookup import CHECKLIST_ROWS  # noqa: E402
+from kiln.operators.triage import AGENT_KEYWORDS, ID_PATTERNS  # noqa: E402
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_INTENT_LIST = "list_filter([" + ", ".join(
+    f"CASE WHEN regexp_matches(lower(query), {_sql_str(keyword_pattern(kws))}) THEN '{agent}' END"
+    for agent, kws in AGENT_KEYWORDS.items()) + "], lambda x: x IS NOT NULL)"
+_ID_COLS = ",\n  ".join(
+    f"list_transform(regexp_extract_all(query, {_sql_str('(?i)' + chr(92) + 'b' + p + chr(92) + 'b')}), lambda x: upper(x)) AS id_{t}"
+    for t, p in ID_PATTERNS.items())
+
+TRIAGED = f"""
+WITH triaged AS (
+  SELECT query_id, query, {_INTENT_LIST} AS intents,
+  {_ID_COLS}
+  FROM v_queries)"""
+
+ORACLES["triage"] = with_views(TRIAGED + """
+SELECT query_id, array_to_string(intents, ',') AS intents,
+       array_to_string(list_concat(list_filter(intents, lambda x: x <> 'finance'),
+                                   list_filter(intents, lambda x: x = 'finance')), ',') AS plan,
+       CAST(len(intents) AS INTEGER) AS n_intents,
+       CAST(CASE WHEN len(intents) > 0 THEN 1 ELSE 0 END AS INTEGER) AS in_scope,
+       concat_ws(';', """ + ", ".join(
+    f"CASE WHEN len(id_{t}) > 0 THEN '{t}:' || array_to_string(id_{t}, ',') END" for t in ID_PATTERNS) + """) AS ids
+FROM triaged""", "v_queries")
+
+IDS_LONG = TRIAGED + """,
+ids AS (""" + "\n  UNION ALL ".join(
+    f"SELECT query_id, '{t}' AS id_type, CAST(generate_subscripts(id_{t}, 1) - 1 AS INTEGER) AS pos, unnest(id_{t}) AS id FROM triaged"
+    for t in ID_PATTERNS) + ")"
+
+ORACLES["extract_ids"] = with_views(IDS_LONG + "\nSELECT query_id, id_type, pos, id FROM ids", "v_queries")
+
+ORACLES["routing_eval"] = with_views(TRIAGED + """,
+j AS (
+  SELECT t.query_id, t.intents, list_filter(string_split(r.expected_agents, ','), lambda x: x <> '') AS exp
+  FROM triaged t JOIN v_routing r ON t.query_id = r.query_id)
+SELECT query_id, array_to_string(intents, ',') AS predicted, array_to_string(exp, ',') AS expected,
+       array_to_string(list_filter(exp, lambda x: NOT list_contains(intents, x)), ',') AS missing,
+       array_to_string(list_filter(intents, lambda x: NOT list_contains(exp, x)), ',') AS extra,
+       CAST(CASE WHEN len(list_filter(exp, lambda x: NOT list_contains(intents, x))) = 0
+             AND len(list_filter(intents, lambda x: NOT list_contains(exp, x))) = 0 THEN 1 ELSE 0 END AS INTEGER) AS exact
+FROM j""", "v_queries", "v_routing")
+
+ORACLES["out_of_scope"] = with_views(TRIAGED + """
+SELECT query_id, """ + _sql_str(
+    "Maaf, pertanyaan ini berada di luar cakupan sistem PT Cipta Manufaktur Nusantara. "
+    "Sistem ini hanya menangani pertanyaan seputar empat domain: (1) Maintenance -- "
+    "kondisi mesin dan prediksi kegagalan, (2) Customer Service -- keluhan pelanggan "
+    "dan SOP, (3) Vendor/Procurement -- validasi dokumen vendor, dan (4) Finance -- "
+    "biaya operasional. Silakan ajukan pertanyaan yang berkaitan dengan salah satu "
+    "domain tersebut, atau hubungi divisi terkait secara langsung untuk pertanyaan lain.") + """ AS message
+FROM triaged WHERE len(intents) = 0""", "v_queries")
+
+# --- lookups ------------------------------------------------------------------
+
+TICKET_SUMMARY = "'[' || kategori || '] ' || isi_komplain || ' (status: ' || status_resolusi || ')'"
+
+ENTITIES = f""",
+ent AS (
+  SELECT 'ticket' AS id_type, upper(ticket_id) AS id, row_order, ticket_id AS matched_id, {TICKET_SUMMARY} AS summary
+  FROM v_tickets
+  UNION ALL
+  SELECT 'maintenance_case', upper(case_id), row_order, case_id, '[' || machine_id || '] ' || failure_type FROM v_cases
+  UNION ALL
+  SELECT 'sensor_record', upper(record_id), row_order, record_id,
+         'machine_id=' || machine_id || ', failure_type=' || ({LABEL_V3}) || ', tool_wear_min=' || CAST(tool_wear_min AS VARCHAR)
+  FROM v_sensor),
+plain AS (
+  SELECT i.query_id, i.id_type, i.pos, i.id, arg_min(e.matched_id, e.row_order) AS matched_id,
+         arg_min(e.summary, e.row_order) AS summary
+  FROM ids i JOIN ent e ON i.id_type = e.id_type AND i.id = e.id
+  WHERE i.id_type IN ('ticket', 'maintenance_case', 'sensor_record')
+  GROUP BY i.query_id, i.id_type, i.pos, i.id),
+po AS (
+  SELECT i.query_id, i.id_type, i.pos, i.id, arg_min(t.ticket_id, t.row_order) AS matched_id,
+         arg_min({TICKET_SUMMARY}, t.row_order) AS summary
+  FROM ids i JOIN v_tickets t ON contains(upper(t.isi_komplain), i.id)
+  WHERE i.id_type = 'po_number'
+  GROUP BY i.query_id, i.id_type, i.pos, i.id)"""
+
+ORACLES["exact_lookup"] = with_views(IDS_LONG + ENTITIES + """
+SELECT *, CASE id_type WHEN 'ticket' THEN 0 WHEN 'maintenance_case' THEN 1 WHEN 'po_number' THEN 2
+                       WHEN 'sensor_record' THEN 3 END AS type_rank
+FROM (SELECT * FROM plain UNION ALL SELECT * FROM po)""", "v_queries", "v_tickets", "v_cases", "v_sensor")
+
+ORACLES["po_lookup"] = with_views(IDS_LONG + ENTITIES + """
+SELECT query_id, pos, id, matched_id, summary FROM po""", "v_queries", "v_tickets", "v_cases", "v_sensor")
+
+ORACLES["vendor_lookup"] = with_views("""
+SELECT k.key_id, k.key, min(v.row_order) AS row_order,
+       arg_min(v.vendor_id, v.row_order) AS vendor_id, arg_min(v.nama_vendor, v.row_order) AS nama_vendor,
+       arg_min(v.dokumen_belum_lengkap, v.row_order) AS dokumen_belum_lengkap,
+       arg_min(v.status_validasi, v.row_order) AS status_validasi,
+       CAST(CASE WHEN count(v.vendor_id) > 0 THEN 1 ELSE 0 END AS INTEGER) AS found
+FROM v_vendor_keys k LEFT JOIN v_vendors v
+  ON contains(lower(v.vendor_id), lower(k.key)) OR contains(lower(v.nama_vendor), lower(k.key))
+WHERE length(k.key) > 0
+GROUP BY k.key_id, k.key""", "v_vendor_keys", "v_vendors")
+
+_CHECKLIST_VALUES = ",\n  ".join(
+    "(" + ", ".join([_sql_str(d), _sql_str(w), "NULL" if m is None else repr(m), _sql_str(n), str(i)]) + ")"
+    for i, (d, w, m, n) in enumerate(CHECKLIST_ROWS))
+
+ORACLES["vendor_gap_report"] = with_views(f"""
+WITH cl(dokumen, wajib, masa_berlaku_bulan, catatan, ord) AS (VALUES
+  {_CHECKLIST_VALUES}),
+notes AS (SELECT dokumen, arg_min(wajib, ord) AS wajib, arg_min(catatan, ord) AS catatan FROM cl GROUP BY dokumen),
+parts AS (
+  SELECT vendor_id, status_validasi,
+         CASE WHEN dokumen_belum_lengkap = '-' THEN []::VARCHAR[]
+              ELSE list_transform(string_split(dokumen_belum_lengkap, '; '),
+                                  lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) END AS docs
+  FROM v_vendors),
+docs AS (
+  SELECT vendor_id, status_validasi, CAST(generate_subscripts(docs, 1) - 1 AS INTEGER) AS pos, unnest(docs) AS dokumen
+  FROM parts)
+SELECT d.vendor_id, d.status_validasi, d.pos, d.dokumen, n.wajib, n.catatan
+FROM docs d LEFT JOIN notes n ON d.dokumen = n.dokumen""", "v_vendors")

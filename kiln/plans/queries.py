@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.operators import reports, sensors
+from kiln.operators import lookup, reports, sensors
+from kiln.operators import triage as triage_ops
 from kiln.plans.context import Ctx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,66 @@ def round_robin_machine(spark, sf_dir):
 @register
 def map_machine_schema(spark, sf_dir):
     return sensors.map_machine_schema(Ctx(spark, sf_dir).raw_machine)
+
+
+# --- triage -------------------------------------------------------------------
+
+def _triaged(c: Ctx) -> DataFrame:
+    return triage_ops.triage(c.queries)
+
+
+@register
+def triage(spark, sf_dir):
+    t = _triaged(Ctx(spark, sf_dir))
+    return t.select("query_id",
+                    F.array_join("intents", ",").alias("intents"),
+                    F.array_join("plan", ",").alias("plan"),
+                    F.size("intents").alias("n_intents"),
+                    F.col("in_scope").cast("int").alias("in_scope"),
+                    triage_ops.ids_text(F.col("ids")).alias("ids"))
+
+
+@register
+def extract_ids(spark, sf_dir):
+    return lookup.exploded_ids(_triaged(Ctx(spark, sf_dir)))
+
+
+@register
+def routing_eval(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return triage_ops.routing_eval(_triaged(c), c.routing)
+
+
+@register
+def out_of_scope(spark, sf_dir):
+    return triage_ops.out_of_scope(_triaged(Ctx(spark, sf_dir)))
+
+
+# --- lookups ------------------------------------------------------------------
+
+def _labelled_sensors(c: Ctx) -> DataFrame:
+    return sensors.label_failures(c.sensor)
+
+
+@register
+def exact_lookup(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return lookup.exact_lookup(_triaged(c), c.tickets, c.cases, _labelled_sensors(c))
+
+
+@register
+def po_lookup(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return lookup.po_lookup(_triaged(c), c.tickets)
+
+
+@register
+def vendor_lookup(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return lookup.vendor_lookup(c.vendor_keys, c.vendors)
+
+
+@register
+def vendor_gap_report(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return lookup.vendor_gap_report(c.vendors, lookup.checklist(spark))

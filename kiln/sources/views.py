@@ -24,7 +24,8 @@ SELECT concat('REC-', lpad(CAST(event_id AS VARCHAR(20)), 6, '0')) AS record_id,
  CAST(3020 + event_id * 7 % 60 + event_id * 13 % 50 AS DOUBLE) / 10 AS process_temperature_k,
  1100 + event_id * 37 % 1000 AS rotational_speed_rpm,
  CAST(30 + event_id * 53 % 720 AS DOUBLE) / 10 AS torque_nm,
- (event_id * 17 + user_id * 29) % 260 AS tool_wear_min
+ (event_id * 17 + user_id * 29) % 260 AS tool_wear_min,
+ event_id AS row_order
 FROM {events}""",
     # complaint tickets
     "v_tickets": """
@@ -58,7 +59,8 @@ SELECT concat('VND-', lpad(CAST(s_suppkey AS VARCHAR(20)), 4, '0')) AS vendor_id
                     ELSE 'Perlu Klarifikasi' END AS status_validasi,
  s_suppkey AS row_order
 FROM {supplier}""",
-    # free-text questions: ids, PO, two intents, one intent, out of scope, unknown id
+    # free-text questions, one per order (the table grows with the data): ids, PO,
+    # two intents, one intent, out of scope, unknown id
     "v_queries": """
 SELECT o_orderkey AS query_id, CASE o_orderkey % 6
  WHEN 0 THEN concat('status tiket TCK-', lpad(CAST(o_orderkey AS VARCHAR(20)), 6, '0'),
@@ -68,7 +70,7 @@ SELECT o_orderkey AS query_id, CASE o_orderkey % 6
  WHEN 3 THEN 'Cek kelengkapan dokumen vendor dan sertifikat ISO'
  WHEN 4 THEN 'berapa gaji karyawan'
  ELSE 'tiket TCK-999999 tidak ada, keterlambatan pengiriman' END AS query
-FROM {orders} WHERE o_orderkey < 600""",
+FROM {orders}""",
     # tool-call log: one row per tool call, one null role
     "v_tool_log": """
 SELECT event_id AS seq, ts, user_id AS run_id,
@@ -83,7 +85,15 @@ SELECT o_orderkey AS query_id, CASE o_orderkey % 6
  WHEN 0 THEN 'cs,maintenance' WHEN 1 THEN 'cs' WHEN 2 THEN 'maintenance,finance'
  WHEN 3 THEN 'vendor' WHEN 4 THEN '' ELSE 'cs' END AS expected_agents,
  CASE o_orderkey % 6 WHEN 2 THEN 'maintenance_case' ELSE 'complaint_ticket' END AS expected_type
-FROM {orders} WHERE o_orderkey < 600""",
+FROM {orders}""",
+    # vendor search keys typed by users: lower-case vendor id, numeric name tail,
+    # upper-case name prefix (matches several vendors: the first one wins)
+    "v_vendor_keys": """
+SELECT s_suppkey AS key_id, CASE s_suppkey % 3
+ WHEN 0 THEN lower(concat('VND-', lpad(CAST(s_suppkey AS VARCHAR(20)), 4, '0')))
+ WHEN 1 THEN substr(s_name, 10)
+ ELSE upper(substr(s_name, 1, length(s_name) - 1)) END AS key
+FROM {supplier}""",
     # raw machine readings with the five failure flags (input of schema mapping)
     "v_raw_machine": """
 SELECT event_id AS row_order,
