@@ -260,3 +260,158 @@ docs AS (
   FROM parts)
 SELECT d.vendor_id, d.status_validasi, d.pos, d.dokumen, n.wajib, n.catatan
 FROM docs d LEFT JOIN notes n ON d.dokumen = n.dokumen""", "v_vendors")
+
+# --- documents and retrieval --------------------------------------------------
+
+TOKEN_RE = r"'[\p{L}\p{N}_]{2,}'"
+WS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+CHUNKS = f"""
+WITH parts AS (
+  SELECT doc_id AS source_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS chunk_index,
+         unnest(string_split(text, chr(10))) AS s
+  FROM documents),
+chunks AS (
+  SELECT CAST(source_id AS VARCHAR) || '::chunk-' || CAST(chunk_index AS VARCHAR) AS chunk_id, source_id, chunk_index,
+         regexp_replace(s, '^{WS}+|{WS}+$', '', 'g') AS text
+  FROM parts
+  WHERE length(regexp_replace(s, '^{WS}+|{WS}+$', '', 'g')) >= 20)"""
+
+ORACLES["chunk_sections"] = CHUNKS + "\nSELECT * FROM chunks"
+
+CASE_HISTORY = """
+WITH case_history AS (
+  SELECT 'maint::' || case_id AS doc_id,
+         '[' || machine_id || '] ' || failure_type || ': downtime ' || CAST(CAST(downtime_jam AS BIGINT) AS VARCHAR) || ' jam' AS text,
+         'maintenance_case' AS type, machine_id, failure_type, downtime_jam, biaya_perbaikan_idr,
+         CAST(NULL AS VARCHAR) AS kategori, CAST(NULL AS VARCHAR) AS status_resolusi
+  FROM v_cases
+  UNION ALL
+  SELECT 'ticket::' || ticket_id, '[' || kategori || '] ' || isi_komplain, 'complaint_ticket',
+         NULL, NULL, NULL, NULL, kategori, status_resolusi
+  FROM v_tickets)"""
+
+ORACLES["build_case_history"] = with_views(CASE_HISTORY + "\nSELECT * FROM case_history", "v_cases", "v_tickets")
+
+ORACLES["upsert_documents"] = """
+WITH base AS (SELECT doc_id, text, lang, source FROM documents),
+incoming AS (SELECT b.doc_id, b.text, b.lang, b.source, l.quality, l.toxic FROM base b JOIN labels l ON b.doc_id = l.doc_id)
+SELECT doc_id, text, lang, source, CAST(NULL AS INTEGER) AS quality, CAST(NULL AS INTEGER) AS toxic
+FROM base WHERE doc_id NOT IN (SELECT doc_id FROM incoming)
+UNION ALL SELECT * FROM incoming"""
+
+
+def tfidf_ctes(p: str, docs: str, queries: str, k: int, max_features: int = 512) -> str:
+    """Brute-force TF-IDF top-k in SQL: ``docs`` yields (doc_id, text), ``queries``
+    yields (qtext); every (distinct query, doc) pair is scored."""
+    return f"""
+{p}_docs AS ({docs}),
+{p}_tc AS (
+  SELECT doc_id, term, count(*) AS tf
+  FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {TOKEN_RE})) AS term FROM {p}_docs)
+  GROUP BY doc_id, term),
+{p}_vocab AS (
+  SELECT term, df, cf, ln((1.0 + (SELECT count(*) FROM {p}_docs)) / (1.0 + df)) + 1.0 AS idf
+  FROM (SELECT term, count(*) AS df, sum(tf) AS cf FROM {p}_tc GROUP BY term)
+  ORDER BY cf DESC, term ASC LIMIT {max_features}),
+{p}_dw AS (SELECT doc_id, term, tf * idf AS raw FROM {p}_tc JOIN {p}_vocab USING (term)),
+{p}_dp AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS w FROM {p}_dw),
+{p}_dflag AS (
+  SELECT d.doc_id, CASE WHEN d.doc_id IN (SELECT doc_id FROM {p}_dp) THEN 1 ELSE 0 END AS nz FROM {p}_docs d),
+{p}_q AS (SELECT DISTINCT qtext FROM ({queries})),
+{p}_qtc AS (
+  SELECT qtext, term, count(*) AS tf
+  FROM (SELECT qtext, unnest(regexp_extract_all(lower(qtext), {TOKEN_RE})) AS term FROM {p}_q)
+  GROUP BY qtext, term),
+{p}_qw AS (SELECT qtext, term, tf * idf AS raw FROM {p}_qtc JOIN {p}_vocab USING (term)),
+{p}_qp AS (SELECT qtext, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY qtext)) AS w FROM {p}_qw),
+{p}_qflag AS (
+  SELECT q.qtext, CASE WHEN q.qtext IN (SELECT qtext FROM {p}_qp) THEN 1 ELSE 0 END AS qn FROM {p}_q q),
+{p}_dot AS (
+  SELECT q.qtext, d.doc_id, sum(q.w * d.w) AS dot FROM {p}_qp q JOIN {p}_dp d USING (term) GROUP BY q.qtext, d.doc_id),
+{p}_all AS (
+  SELECT q.qtext, f.doc_id,
+         round(greatest(0.0, q.qn + f.nz - 2 * coalesce(t.dot, 0.0)), 9) + 0.0 AS distance
+  FROM {p}_qflag q CROSS JOIN {p}_dflag f
+  LEFT JOIN {p}_dot t ON t.qtext = q.qtext AND t.doc_id = f.doc_id),
+{p}_top AS (
+  SELECT qtext, doc_id, distance, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY qtext ORDER BY distance, doc_id) AS rank FROM {p}_all)
+  WHERE rank <= {k})"""
+
+
+ORACLES["tfidf_vocab"] = f"""
+WITH {tfidf_ctes('d', 'SELECT doc_id, text FROM documents', 'SELECT text AS qtext FROM conversations', 3)}
+SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index, df, cf, round(idf, 9) AS idf
+FROM d_vocab"""
+
+ORACLES["tfidf_search"] = f"""
+WITH {tfidf_ctes('d', 'SELECT doc_id, text FROM documents', 'SELECT text AS qtext FROM conversations', 3)}
+SELECT c.conv_id, c.turn, CAST(t.rank AS INTEGER) AS rank, t.doc_id, round(t.distance, 6) AS distance
+FROM conversations c JOIN d_top t ON c.text = t.qtext"""
+
+
+def _sop_sql(k: int) -> str:
+    return CHUNKS + "," + tfidf_ctes(
+        's', 'SELECT chunk_id AS doc_id, text FROM chunks', 'SELECT text AS qtext FROM conversations', k) + f"""
+, hits AS (
+  SELECT c.conv_id, c.turn, CAST(t.rank AS INTEGER) AS rank, t.doc_id, ch.source_id, round(t.distance, 6) AS distance
+  FROM conversations c JOIN s_top t ON c.text = t.qtext JOIN chunks ch ON ch.chunk_id = t.doc_id)"""
+
+
+ORACLES["sop_search"] = _sop_sql(3) + "\nSELECT * FROM hits"
+
+ORACLES["grounding_rate"] = _sop_sql(1) + """
+, g AS (
+  SELECT c.conv_id, c.turn, CASE WHEN coalesce(min(h.distance), 999.0) < 1.6 THEN 1 ELSE 0 END AS grounded
+  FROM conversations c LEFT JOIN hits h ON c.conv_id = h.conv_id AND c.turn = h.turn
+  GROUP BY c.conv_id, c.turn)
+SELECT count(*) AS n_queries, CAST(sum(grounded) AS BIGINT) AS n_grounded, round(avg(grounded) * 100, 1) AS pct_grounded
+FROM g"""
+
+ORACLES["citation_coverage"] = _sop_sql(2) + """
+, g AS (
+  SELECT c.conv_id, c.turn, CASE WHEN count(h.doc_id) > 0 THEN 1 ELSE 0 END AS has
+  FROM conversations c LEFT JOIN hits h ON c.conv_id = h.conv_id AND c.turn = h.turn
+  GROUP BY c.conv_id, c.turn)
+SELECT count(*) AS n_queries, CAST(sum(has) AS BIGINT) AS n_with_citation, round(avg(has) * 100, 1) AS pct_with_citation
+FROM g"""
+
+HYBRID = IDS_LONG + ENTITIES + """,
+exact AS (
+  SELECT query_id, 'exact' AS source,
+         row_number() OVER (PARTITION BY query_id ORDER BY type_rank, pos, id) AS rank,
+         matched_id AS doc_key,
+         CASE id_type WHEN 'ticket' THEN 'complaint_ticket' WHEN 'po_number' THEN 'complaint_ticket'
+                      WHEN 'maintenance_case' THEN 'maintenance_case' ELSE 'sensor_record' END AS doc_type,
+         CAST(NULL AS DOUBLE) AS distance
+  FROM (SELECT *, CASE id_type WHEN 'ticket' THEN 0 WHEN 'maintenance_case' THEN 1 WHEN 'po_number' THEN 2
+                               ELSE 3 END AS type_rank
+        FROM (SELECT * FROM plain UNION ALL SELECT * FROM po))),
+rest AS (SELECT query_id, query FROM v_queries WHERE query_id NOT IN (SELECT query_id FROM exact)),
+""" + CASE_HISTORY.replace("WITH case_history", "case_history", 1).strip() + "," + tfidf_ctes(
+    'h', 'SELECT doc_id, text FROM case_history', 'SELECT query AS qtext FROM rest', 3) + """,
+hybrid AS (
+  SELECT * FROM exact
+  UNION ALL
+  SELECT r.query_id, 'semantic', t.rank, t.doc_id,
+         CASE WHEN starts_with(t.doc_id, 'maint::') THEN 'maintenance_case' ELSE 'complaint_ticket' END,
+         round(t.distance, 6)
+  FROM rest r JOIN h_top t ON r.query = t.qtext)"""
+
+ORACLES["hybrid_search"] = with_views(HYBRID + "\nSELECT * FROM hybrid",
+                                      "v_queries", "v_tickets", "v_cases", "v_sensor")
+
+ORACLES["routing_accuracy"] = with_views(HYBRID + """,
+detail AS (
+  SELECT r.query_id, r.expected_type,
+         count(CASE WHEN h.doc_type = 'maintenance_case' THEN 1 END) AS mc,
+         count(CASE WHEN h.doc_type = 'complaint_ticket' THEN 1 END) AS tc
+  FROM v_routing r LEFT JOIN hybrid h ON r.query_id = h.query_id
+  GROUP BY r.query_id, r.expected_type),
+scored AS (
+  SELECT CASE WHEN (CASE WHEN mc >= tc THEN 'maintenance_case' ELSE 'complaint_ticket' END) = expected_type
+              THEN 1 ELSE 0 END AS correct FROM detail)
+SELECT count(*) AS n_queries, CAST(sum(correct) AS BIGINT) AS n_correct,
+       round(avg(correct) * 100, 1) AS routing_accuracy_pct
+FROM scored""", "v_queries", "v_tickets", "v_cases", "v_sensor", "v_routing")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.operators import lookup, reports, sensors
+from kiln.operators import lookup, reports, retrieval, sensors, textprep, tfidf
 from kiln.operators import triage as triage_ops
 from kiln.plans.context import Ctx
 
@@ -152,3 +152,91 @@ def vendor_lookup(spark, sf_dir):
 def vendor_gap_report(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return lookup.vendor_gap_report(c.vendors, lookup.checklist(spark))
+
+
+# --- documents and retrieval --------------------------------------------------
+
+CONV_KEYS = ("conv_id", "turn")
+
+
+def _chunks(c: Ctx) -> DataFrame:
+    # driver documents carry no "## " headings: sections are lines
+    return textprep.chunk_sections(c.t.documents, "doc_id", "text", sep="\n", marker="")
+
+
+def _conversation_queries(c: Ctx) -> DataFrame:
+    return c.t.conversations.select("conv_id", "turn", F.col("text").alias("query"))
+
+
+@register
+def chunk_sections(spark, sf_dir):
+    return _chunks(Ctx(spark, sf_dir))
+
+
+def _case_history(c: Ctx) -> DataFrame:
+    return textprep.build_case_history(c.cases, c.tickets)
+
+
+@register
+def build_case_history(spark, sf_dir):
+    return _case_history(Ctx(spark, sf_dir))
+
+
+@register
+def upsert_documents(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    base = c.t.documents.select("doc_id", "text", "lang", "source")
+    incoming = base.join(c.t.labels.select("doc_id", "quality", "toxic"), "doc_id", "inner")
+    return textprep.upsert_documents(base, incoming, "doc_id")
+
+
+@register
+def tfidf_vocab(spark, sf_dir):
+    v = tfidf.fit_vocabulary(Ctx(spark, sf_dir).t.documents, "doc_id", "text")
+    return v.select("term", "term_index", "df", "cf", F.round("idf", 9).alias("idf"))
+
+
+@register
+def tfidf_search(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    index = tfidf.fit_index(c.t.documents, "doc_id", "text")
+    return tfidf.search(index, _conversation_queries(c), 3, CONV_KEYS, "query")
+
+
+def _sop_hits(c: Ctx, k: int) -> DataFrame:
+    chunks = _chunks(c)
+    return retrieval.sop_search(retrieval.sop_index(chunks), chunks, _conversation_queries(c), k, CONV_KEYS, "query")
+
+
+@register
+def sop_search(spark, sf_dir):
+    return _sop_hits(Ctx(spark, sf_dir), 3).select(*CONV_KEYS, "rank", "doc_id", "source_id", "distance")
+
+
+@register
+def grounding_rate(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return retrieval.grounding_rate(_conversation_queries(c), _sop_hits(c, 1), CONV_KEYS)
+
+
+@register
+def citation_coverage(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    responses = retrieval.render_responses(_sop_hits(c, 2), CONV_KEYS)
+    return retrieval.citation_coverage(_conversation_queries(c), responses, CONV_KEYS)
+
+
+def _hybrid(c: Ctx) -> DataFrame:
+    index = tfidf.fit_index(_case_history(c), "doc_id", "text")
+    return retrieval.hybrid_search(_triaged(c), index, c.tickets, c.cases, _labelled_sensors(c), 3)
+
+
+@register
+def hybrid_search(spark, sf_dir):
+    return _hybrid(Ctx(spark, sf_dir))
+
+
+@register
+def routing_accuracy(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return retrieval.routing_accuracy(_hybrid(c), c.routing)
