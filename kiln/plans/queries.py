@@ -161,7 +161,7 @@ CONV_KEYS = ("conv_id", "turn")
 
 def _chunks(c: Ctx) -> DataFrame:
     # driver documents carry no "## " headings: sections are lines
-    return textprep.chunk_sections(c.t.documents, "doc_id", "text", sep="\n", marker="")
+    return textprep.chunk_sections(c.t.documents, "doc_id", "text", sep="\n", marker="").persist()
 
 
 def _conversation_queries(c: Ctx) -> DataFrame:
@@ -199,13 +199,13 @@ def tfidf_vocab(spark, sf_dir):
 @register
 def tfidf_search(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    index = tfidf.fit_index(c.t.documents, "doc_id", "text")
+    index = tfidf.fit_index(c.t.documents, "doc_id", "text").cache()
     return tfidf.search(index, _conversation_queries(c), 3, CONV_KEYS, "query")
 
 
 def _sop_hits(c: Ctx, k: int) -> DataFrame:
     chunks = _chunks(c)
-    return retrieval.sop_search(retrieval.sop_index(chunks), chunks, _conversation_queries(c), k, CONV_KEYS, "query")
+    return retrieval.sop_search(retrieval.sop_index(chunks).cache(), chunks, _conversation_queries(c), k, CONV_KEYS, "query")
 
 
 @register
@@ -227,7 +227,7 @@ def citation_coverage(spark, sf_dir):
 
 
 def _hybrid(c: Ctx) -> DataFrame:
-    index = tfidf.fit_index(_case_history(c), "doc_id", "text")
+    index = tfidf.fit_index(_case_history(c), "doc_id", "text").cache()
     return retrieval.hybrid_search(_triaged(c), index, c.tickets, c.cases, _labelled_sensors(c), 3)
 
 
