@@ -415,3 +415,76 @@ scored AS (
 SELECT count(*) AS n_queries, CAST(sum(correct) AS BIGINT) AS n_correct,
        round(avg(correct) * 100, 1) AS routing_accuracy_pct
 FROM scored""", "v_queries", "v_tickets", "v_cases", "v_sensor", "v_routing")
+
+# --- labels, splits, metrics ----------------------------------------------------
+
+ORACLES["label_dictionary"] = with_views("""
+SELECT kategori AS label, CAST(row_number() OVER (ORDER BY kategori) - 1 AS INTEGER) AS label_id
+FROM (SELECT DISTINCT kategori FROM v_tickets WHERE kategori IS NOT NULL)""", "v_tickets")
+
+ORACLES["stratified_split"] = with_views("""
+WITH base AS (SELECT ticket_id, kategori AS label, md5('42:' || ticket_id) AS h FROM v_tickets),
+c AS (SELECT label, count(*) AS n FROM base GROUP BY label),
+t AS (SELECT *, sum(n) OVER () AS total FROM c),
+t2 AS (SELECT *, total - CAST(ceil(total * CAST(0.2 AS DOUBLE)) AS BIGINT) AS ntrain FROM t),
+t3 AS (SELECT *, CAST((CAST(n AS HUGEINT) * ntrain) // total AS BIGINT) AS fl,
+              (CAST(n AS HUGEINT) * ntrain) % total AS rem FROM t2),
+t4 AS (SELECT *, ntrain - sum(fl) OVER () AS lft, row_number() OVER (ORDER BY rem DESC, label ASC) AS r FROM t3),
+quota AS (SELECT label, fl + CASE WHEN r <= lft THEN 1 ELSE 0 END AS n_train FROM t4),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) - 1 AS class_rank FROM base)
+SELECT ranked.ticket_id, ranked.label, CAST(class_rank AS BIGINT) AS class_rank,
+       CASE WHEN class_rank < n_train THEN 'train' ELSE 'test' END AS split
+FROM ranked JOIN quota USING (label)""", "v_tickets")
+
+ORACLES["class_weights"] = """
+WITH c AS (SELECT quality AS label, count(*) AS n FROM labels GROUP BY quality)
+SELECT label, n, round((SELECT count(*) FROM labels) / ((SELECT count(*) FROM c) * CAST(n AS DOUBLE)), 9) AS weight FROM c"""
+
+PRED = f"""
+WITH pred AS (SELECT {LABEL_V3} AS truth, {LABEL_V2} AS prediction FROM v_sensor),
+conf AS (SELECT truth AS t, prediction AS p, count(*) AS n FROM pred GROUP BY 1, 2),
+ast AS (SELECT t AS label, sum(n) AS support, sum(CASE WHEN t = p THEN n ELSE 0 END) AS tp FROM conf GROUP BY t),
+ap AS (SELECT p AS label, sum(n) AS predicted FROM conf GROUP BY p),
+pc0 AS (SELECT coalesce(ast.label, ap.label) AS label, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp,
+               coalesce(predicted, 0) AS predicted FROM ast FULL OUTER JOIN ap ON ast.label = ap.label),
+pc1 AS (SELECT label, support, tp,
+               CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+               CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM pc0),
+pc AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
+       FROM pc1)"""
+
+ORACLES["classification_scores"] = with_views(PRED + """
+SELECT sum(support) AS n, round(sum(tp) / sum(support), 9) AS accuracy, round(avg(precision), 9) AS precision_macro,
+       round(avg(recall), 9) AS recall_macro, round(avg(f1), 9) AS f1_macro
+FROM pc""", "v_sensor")
+
+ORACLES["classification_report"] = with_views(PRED + """
+SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM pc
+UNION ALL
+SELECT 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), sum(support) FROM pc
+UNION ALL
+SELECT 'weighted avg', round(sum(precision * support) / sum(support), 9), round(sum(recall * support) / sum(support), 9),
+       round(sum(f1 * support) / sum(support), 9), sum(support) FROM pc
+UNION ALL
+SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 9), sum(support) FROM pc""", "v_sensor")
+
+ORACLES["dense_search"] = """
+WITH e AS (SELECT vec_id, embedding FROM embeddings),
+flat AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM e),
+d AS (SELECT a.vec_id AS q, b.vec_id AS vec_id, sum((a.x - b.x) * (a.x - b.x)) AS dist
+      FROM flat a JOIN flat b ON a.i = b.i GROUP BY a.vec_id, b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(dist, 9), vec_id) AS rank FROM d)
+SELECT q AS query_vec_id, CAST(rank AS INTEGER) AS rank, vec_id, round(dist, 6) AS distance FROM r WHERE rank <= 5"""
+
+ORACLES["running_context"] = with_views(TRIAGED + """,
+steps AS (
+  SELECT query_id, query, CAST(generate_subscripts(plan, 1) - 1 AS INTEGER) AS pos, unnest(plan) AS agent
+  FROM (SELECT query_id, query, list_concat(list_filter(intents, lambda x: x <> 'finance'),
+                                            list_filter(intents, lambda x: x = 'finance')) AS plan FROM triaged)),
+lab AS (SELECT *, CASE agent WHEN 'maintenance' THEN 'Maintenance Agent' WHEN 'cs' THEN 'Customer Service Agent'
+                             WHEN 'vendor' THEN 'Vendor & Procurement Agent' WHEN 'finance' THEN 'Finance Agent' END AS label
+        FROM steps)
+SELECT query_id, pos, agent,
+       coalesce(string_agg(chr(10) || '[' || label || ']: ' || label || ' menangani: ' || query || chr(10), '')
+                OVER (PARTITION BY query_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context
+FROM lab""", "v_queries")

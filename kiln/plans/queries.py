@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.operators import lookup, reports, retrieval, sensors, textprep, tfidf
+from kiln.operators import answers, dense, lookup, metrics, reports, retrieval, sensors, split, textprep, tfidf
 from kiln.operators import triage as triage_ops
 from kiln.plans.context import Ctx
 
@@ -240,3 +240,52 @@ def hybrid_search(spark, sf_dir):
 def routing_accuracy(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return retrieval.routing_accuracy(_hybrid(c), c.routing)
+
+
+# --- labels, splits, metrics ----------------------------------------------------
+
+@register
+def label_dictionary(spark, sf_dir):
+    return split.label_dictionary(Ctx(spark, sf_dir).tickets, "kategori")
+
+
+@register
+def stratified_split(spark, sf_dir):
+    ds = split.prepare_text_dataset(Ctx(spark, sf_dir).tickets)
+    return ds.select("ticket_id", "label", "class_rank", "split")
+
+
+@register
+def class_weights(spark, sf_dir):
+    w = split.class_weights(Ctx(spark, sf_dir).t.labels, "quality")
+    return w.select("label", "n", F.round("weight", 9).alias("weight"))
+
+
+def _rule_predictions(c: Ctx) -> DataFrame:
+    """Truth: the current labelling rules; prediction: the older rule set."""
+    return c.sensor.select(sensors.label_rule().alias("truth"),
+                           sensors.label_rule(sensors.OSF_LIMITS_V2).alias("prediction"))
+
+
+@register
+def classification_scores(spark, sf_dir):
+    s = metrics.classification_scores(_rule_predictions(Ctx(spark, sf_dir)))
+    return s.select("n", *[F.round(c, 9).alias(c) for c in ("accuracy", "precision_macro", "recall_macro", "f1_macro")])
+
+
+@register
+def classification_report(spark, sf_dir):
+    r = metrics.classification_report(_rule_predictions(Ctx(spark, sf_dir)))
+    return r.select("label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@register
+def dense_search(spark, sf_dir):
+    emb = Ctx(spark, sf_dir).t.embeddings
+    return dense.dense_search(emb, emb, 5, q_key="vec_id", d_key="vec_id", dim=64)
+
+
+@register
+def running_context(spark, sf_dir):
+    steps = answers.agent_output(answers.plan_steps(_triaged(Ctx(spark, sf_dir))))
+    return answers.running_context(steps)
