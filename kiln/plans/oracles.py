@@ -488,3 +488,16 @@ SELECT query_id, pos, agent,
        coalesce(string_agg(chr(10) || '[' || label || ']: ' || label || ' menangani: ' || query || chr(10), '')
                 OVER (PARTITION BY query_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context
 FROM lab""", "v_queries")
+
+# --- streaming ------------------------------------------------------------------
+
+ORACLES["stream_weekly_cost"] = with_views(f"""
+SELECT CAST(date_trunc('week', tanggal) AS DATE) AS minggu, CAST(sum({RATE_CASE}) AS DOUBLE) AS biaya_kompensasi_cs_idr,
+       count(*) AS n_tickets
+FROM v_tickets GROUP BY 1""", "v_tickets")
+
+ORACLES["stream_tool_usage"] = with_views("""
+SELECT DISTINCT run_id, coalesce(nullif(agent_role, ''), 'unknown') AS agent_role, tool_name FROM v_tool_log""", "v_tool_log")
+
+ORACLES["stream_label_and_score"] = ORACLES["label_failures"]
+ORACLES["stream_triage"] = ORACLES["triage"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kiln.operators import answers, dense, lookup, metrics, reports, retrieval, sensors, split, textprep, tfidf
 from kiln.operators import triage as triage_ops
 from kiln.plans.context import Ctx
+from kiln.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -289,3 +290,30 @@ def dense_search(spark, sf_dir):
 def running_context(spark, sf_dir):
     steps = answers.agent_output(answers.plan_steps(_triaged(Ctx(spark, sf_dir))))
     return answers.running_context(steps)
+
+
+# --- streaming (driven to completion, result read back from the sink) ------------
+
+@register
+def stream_weekly_cost(spark, sf_dir):
+    s = streams.stream_weekly_cost(streams.stream_view(spark, sf_dir, "v_tickets"))
+    return streams.run_complete(s, streams.new_run(spark, "weekly_cost"))
+
+
+@register
+def stream_tool_usage(spark, sf_dir):
+    s = streams.stream_tool_usage(streams.stream_view(spark, sf_dir, "v_tool_log"))
+    return streams.run_append(s, streams.new_run(spark, "tool_usage"))
+
+
+@register
+def stream_label_and_score(spark, sf_dir):
+    s = streams.stream_label_and_score(streams.stream_view(spark, sf_dir, "v_sensor")).select(
+        "record_id", "machine_id", "failure_type", "machine_failure")
+    return streams.run_append(s, streams.new_run(spark, "label_and_score"))
+
+
+@register
+def stream_triage(spark, sf_dir):
+    s = streams.stream_triage(streams.stream_view(spark, sf_dir, "v_queries"))
+    return streams.run_append(s, streams.new_run(spark, "triage"))
