@@ -501,3 +501,30 @@ SELECT DISTINCT run_id, coalesce(nullif(agent_role, ''), 'unknown') AS agent_rol
 
 ORACLES["stream_label_and_score"] = ORACLES["label_failures"]
 ORACLES["stream_triage"] = ORACLES["triage"]
+
+# --- oversampling ------------------------------------------------------------------
+
+
+def split_sql(base: str) -> str:
+    """CTE ``splitted(k, label, class_rank, split)`` of the exact stratified split;
+    ``base`` yields (k, label)."""
+    return f"""
+sbase AS (SELECT k, label, md5('42:' || CAST(k AS VARCHAR)) AS h FROM ({base})),
+sc AS (SELECT label, count(*) AS n FROM sbase GROUP BY label),
+st AS (SELECT *, sum(n) OVER () AS total FROM sc),
+st2 AS (SELECT *, total - CAST(ceil(total * CAST(0.2 AS DOUBLE)) AS BIGINT) AS ntrain FROM st),
+st3 AS (SELECT *, CAST((CAST(n AS HUGEINT) * ntrain) // total AS BIGINT) AS fl,
+               (CAST(n AS HUGEINT) * ntrain) % total AS rem FROM st2),
+st4 AS (SELECT *, ntrain - sum(fl) OVER () AS lft, row_number() OVER (ORDER BY rem DESC, label ASC) AS r FROM st3),
+squota AS (SELECT label, fl + CASE WHEN r <= lft THEN 1 ELSE 0 END AS n_train FROM st4),
+sranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) - 1 AS class_rank FROM sbase),
+splitted AS (SELECT sranked.k, sranked.label, class_rank,
+                    CASE WHEN class_rank < n_train THEN 'train' ELSE 'test' END AS split
+             FROM sranked JOIN squota USING (label))"""
+
+
+ORACLES["smote"] = with_views(LABELLED + "," + split_sql("SELECT record_id AS k, failure_type AS label FROM labelled") + """,
+tr AS (SELECT label, count(*) AS n FROM splitted WHERE split = 'train' GROUP BY label)
+SELECT label, n AS n_original, (SELECT max(n) FROM tr) - n AS n_synthetic, (SELECT max(n) FROM tr) AS n_total,
+       CAST(1 AS INTEGER) AS within_bounds
+FROM tr""", "v_sensor")

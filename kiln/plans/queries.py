@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.operators import answers, dense, lookup, metrics, reports, retrieval, sensors, split, textprep, tfidf
+from kiln.operators import answers, dense, lookup, metrics, ml, reports, retrieval, sensors, split, textprep, tfidf
+from kiln.operators import smote as smote_ops
 from kiln.operators import triage as triage_ops
 from kiln.plans.context import Ctx
 from kiln.streaming import streams
@@ -317,3 +318,40 @@ def stream_label_and_score(spark, sf_dir):
 def stream_triage(spark, sf_dir):
     s = streams.stream_triage(streams.stream_view(spark, sf_dir, "v_queries"))
     return streams.run_append(s, streams.new_run(spark, "triage"))
+
+
+# --- oversampling and models ----------------------------------------------------
+
+def _failure_train(c: Ctx) -> DataFrame:
+    # read by several scalar subqueries, the k-NN graph and the ranking: persist once
+    data = ml.failure_dataset(c.sensor)
+    return data.filter(F.col("split") == "train").persist()
+
+
+@register
+def smote(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    resampled = smote_ops.smote(_failure_train(c), "record_id", "failure_type", sensors.FEATURES)
+    return smote_ops.smote_summary(resampled, "failure_type")
+
+
+@register
+def train_failure_model(spark, sf_dir):
+    trained = ml.train_failure_model(Ctx(spark, sf_dir).sensor)
+    return trained.results
+
+
+@register
+def score_failures(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    trained = ml.train_failure_model(c.sensor, use_smote=False)
+    test = ml.failure_dataset(c.sensor).filter(F.col("split") == "test")
+    return ml.score_failures(trained, test).select("record_id", "failure_type", "predicted_failure", "top_classes")
+
+
+@register
+def classify_complaints(spark, sf_dir):
+    ds = split.prepare_text_dataset(Ctx(spark, sf_dir).tickets).cache()
+    model = ml.train_complaint_classifier(ds.filter(F.col("split") == "train"))
+    out = ml.classify_complaints(model, ds.filter(F.col("split") == "test"))
+    return out.select("ticket_id", "label", "predicted_label", "confidence", "distribution")
