@@ -528,3 +528,18 @@ tr AS (SELECT label, count(*) AS n FROM splitted WHERE split = 'train' GROUP BY
 SELECT label, n AS n_original, (SELECT max(n) FROM tr) - n AS n_synthetic, (SELECT max(n) FROM tr) AS n_total,
        CAST(1 AS INTEGER) AS within_bounds
 FROM tr""", "v_sensor")
+
+# --- composites and helpers -----------------------------------------------------------
+
+ORACLES["class_floor"] = with_views(LABELLED + "," + split_sql("SELECT record_id AS k, failure_type AS label FROM labelled") + """,
+tr AS (SELECT label, count(*) AS n FROM splitted WHERE split = 'train' GROUP BY label)
+SELECT min(n) AS min_class_count, greatest(1, least(5, min(n) - 1)) AS k_neighbors FROM tr""", "v_sensor")
+
+ORACLES["quantize_readings"] = with_views("""
+SELECT record_id, round(air_temperature_k, 1) AS air_temperature_k, round(process_temperature_k, 1) AS process_temperature_k,
+       CAST(rotational_speed_rpm AS INTEGER) AS rotational_speed_rpm, round(torque_nm, 1) AS torque_nm,
+       CAST(tool_wear_min AS INTEGER) AS tool_wear_min,
+       round(torque_nm * (rotational_speed_rpm * 2 * pi() / 60), 6) AS power_w,
+       round(process_temperature_k - air_temperature_k, 6) AS delta_t_k,
+       round(tool_wear_min * torque_nm, 6) AS strain
+FROM v_sensor""", "v_sensor")

@@ -16,6 +16,7 @@ from kiln.operators import answers, dense, lookup, metrics, ml, reports, retriev
 from kiln.operators import smote as smote_ops
 from kiln.operators import triage as triage_ops
 from kiln.plans.context import Ctx
+from kiln.sources import io
 from kiln.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -355,3 +356,46 @@ def classify_complaints(spark, sf_dir):
     model = ml.train_complaint_classifier(ds.filter(F.col("split") == "train"))
     out = ml.classify_complaints(model, ds.filter(F.col("split") == "test"))
     return out.select("ticket_id", "label", "predicted_label", "confidence", "distribution")
+
+
+# --- composites -------------------------------------------------------------------
+
+@register
+def answer_facts(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    tri = _triaged(c)
+    chunks = _chunks(c)
+    sop_hits = retrieval.sop_search(retrieval.sop_index(chunks).cache(), chunks, tri, 1, ("query_id",), "query")
+    vendor_ids = lookup.exploded_ids(tri).filter(F.col("id_type") == "vendor_id")
+    gaps = lookup.vendor_gap_report(c.vendors, lookup.checklist(spark))
+    summary = reports.cost_summary(_weekly(c), 4)
+    return answers.answer_facts(answers.plan_steps(tri), _hybrid(c), sop_hits, gaps, vendor_ids, summary)
+
+
+@register
+def evaluate_all(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    conv = _conversation_queries(c)
+    frames = {
+        "accuracy": metrics.classification_scores(_rule_predictions(c)),
+        "explainability": retrieval.citation_coverage(
+            conv, retrieval.render_responses(_sop_hits(c, 2), CONV_KEYS), CONV_KEYS),
+        "hallucination_proxy": retrieval.grounding_rate(conv, _sop_hits(c, 1), CONV_KEYS),
+        "effectiveness": retrieval.routing_accuracy(_hybrid(c), c.routing),
+        "efficiency": reports.latency_summary(c.tool_log).agg(
+            F.avg("avg_latency_ms").alias("avg_latency_ms"), F.sum("n_calls").alias("n_calls")),
+    }
+    report = io.evaluation_report(frames)
+    return report.select("metric", "component", "name", F.round("value", 6).alias("value"))
+
+
+@register
+def class_floor(spark, sf_dir):
+    return split.class_floor(_failure_train(Ctx(spark, sf_dir)), "failure_type")
+
+
+@register
+def quantize_readings(spark, sf_dir):
+    s = sensors.quantize_readings(sensors.physics_features(Ctx(spark, sf_dir).sensor))
+    return s.select("record_id", *sensors.FEATURES, F.round("power_w", 6).alias("power_w"),
+                    F.round("delta_t_k", 6).alias("delta_t_k"), F.round("strain", 6).alias("strain"))
