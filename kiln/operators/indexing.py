@@ -27,13 +27,13 @@ MAX_BUCKETS = 100_000
 
 
 def quantile_buckets(df: DataFrame, order_col: str, out_col: str = "_bucket",
-                     target_rows: int = TARGET_ROWS_PER_BUCKET) -> DataFrame:
+                     target_rows: int = TARGET_ROWS_PER_BUCKET, n: int | None = None) -> DataFrame:
     """Add a range-bucket column cut at approximate quantiles of ``order_col``.
 
     Two bounded driver round-trips: a row count and ``n_buckets - 1`` split
     points.  The split list is at most ``MAX_BUCKETS`` numbers.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     nb = max(1, min(MAX_BUCKETS, math.ceil(n / target_rows)))
     if nb == 1:
         return df.withColumn(out_col, F.lit(0.0))
@@ -56,7 +56,12 @@ def row_index(df: DataFrame, order_col: str, partition_cols: tuple[str, ...] = (
     """
     part = list(partition_cols)
     if bucket_col is None:
-        df = quantile_buckets(df, order_col, "_bucket", target_rows)
+        n = df.count()
+        if n <= target_rows:
+            # one bucket: the input itself is small enough (checked) for a plain window
+            w = Window.partitionBy(*part).orderBy(order_col)
+            return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
+        df = quantile_buckets(df, order_col, "_bucket", target_rows, n)
         bucket_col = "_bucket"
         drop_bucket = True
     else:
