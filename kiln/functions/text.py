@@ -64,3 +64,33 @@ def split_list(c: Column, sep: str = "; ", none_marker: str | None = "-") -> Col
     if none_marker is None:
         return parts
     return F.when(c == F.lit(none_marker), F.array().cast("array<string>")).otherwise(parts)
+
+
+def rupiah(c: Column) -> Column:
+    """``Rp 1,234,567`` (no decimals)."""
+    return F.concat(F.lit("Rp "), F.format_number(c, 0))
+
+
+def percent_text(c: Column, decimals: int = 1) -> Column:
+    """``12.3%`` from a percentage value."""
+    return F.concat(F.format_string(f"%.{decimals}f", c), F.lit("%"))
+
+
+def metadata_text(m: Column, skip: str = "type") -> Column:
+    """``k=v, k=v`` over a metadata map without one key, in key order."""
+    kept = F.map_filter(m, lambda k, _v: k != F.lit(skip))
+    entries = F.array_sort(F.map_entries(kept))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+
+
+def softmax(logits: Column) -> Column:
+    """Softmax of a raw logit array (max-shifted for stability)."""
+    mx = F.array_max(logits)
+    ex = F.transform(logits, lambda x: F.exp(x - mx))
+    total = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(ex, lambda x: x / total)
+
+
+def argmax(values: Column) -> Column:
+    """0-based index of the largest element (first on ties)."""
+    return F.array_position(values, F.array_max(values)) - 1
