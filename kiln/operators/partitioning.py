@@ -1,0 +1,22 @@
+"""Input parallelism for CPU-heavy per-row operators.
+
+A scan yields one task per file split; a small table stored as one row group
+is one task, and a tokenizer or regex triage over it runs single-threaded.
+``spread`` repartitions such an input to the cluster's default parallelism --
+and does nothing when the input already has that many partitions (the normal
+case for large tables), so no shuffle is added at scale.
+
+Use it on scans only: asking a plan with exchanges for its partition count
+makes adaptive execution run those exchanges.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,7 +98,8 @@ def map_machine_schema(spark, sf_dir):
 # --- triage -------------------------------------------------------------------
 
 def _triaged(c: Ctx) -> DataFrame:
-    return triage_ops.triage(c.queries)
+    # read by several branches (ID lookups, the anti-joined rest, plans): triage once
+    return triage_ops.triage(c.queries).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @register
@@ -177,7 +179,8 @@ def chunk_sections(spark, sf_dir):
 
 
 def _case_history(c: Ctx) -> DataFrame:
-    return textprep.build_case_history(c.cases, c.tickets)
+    # a derived collection read by the index build several times (counts, ids, size)
+    return textprep.build_case_history(c.cases, c.tickets).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @register

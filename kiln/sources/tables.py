@@ -10,6 +10,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kiln.operators.partitioning import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -38,5 +40,7 @@ class Tables:
         if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
         if name not in self._cache:
-            self._cache[name] = read_table(self.spark, self.sf_dir, name)
+            # a table stored as a few row groups scans as a few tasks: spread it
+            # to the cluster's parallelism (a no-op for large, many-file tables)
+            self._cache[name] = spread(read_table(self.spark, self.sf_dir, name))
         return self._cache[name]
