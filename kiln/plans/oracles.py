@@ -342,7 +342,7 @@ def tfidf_ctes(p: str, docs: str, queries: str, k: int, max_features: int = 512)
 
 ORACLES["tfidf_vocab"] = f"""
 WITH {tfidf_ctes('d', 'SELECT doc_id, text FROM documents', 'SELECT text AS qtext FROM conversations', 3)}
-SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index, df, cf, round(idf, 9) AS idf
+SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index, df, CAST(cf AS BIGINT) AS cf, round(idf, 9) AS idf
 FROM d_vocab"""
 
 ORACLES["tfidf_search"] = f"""
@@ -380,7 +380,7 @@ FROM g"""
 HYBRID = IDS_LONG + ENTITIES + """,
 exact AS (
   SELECT query_id, 'exact' AS source,
-         row_number() OVER (PARTITION BY query_id ORDER BY type_rank, pos, id) AS rank,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY type_rank, pos, id) AS INTEGER) AS rank,
          matched_id AS doc_key,
          CASE id_type WHEN 'ticket' THEN 'complaint_ticket' WHEN 'po_number' THEN 'complaint_ticket'
                       WHEN 'maintenance_case' THEN 'maintenance_case' ELSE 'sensor_record' END AS doc_type,
@@ -394,7 +394,7 @@ rest AS (SELECT query_id, query FROM v_queries WHERE query_id NOT IN (SELECT que
 hybrid AS (
   SELECT * FROM exact
   UNION ALL
-  SELECT r.query_id, 'semantic', t.rank, t.doc_id,
+  SELECT r.query_id, 'semantic', CAST(t.rank AS INTEGER), t.doc_id,
          CASE WHEN starts_with(t.doc_id, 'maint::') THEN 'maintenance_case' ELSE 'complaint_ticket' END,
          round(t.distance, 6)
   FROM rest r JOIN h_top t ON r.query = t.qtext)"""
@@ -445,7 +445,7 @@ WITH pred AS (SELECT {LABEL_V3} AS truth, {LABEL_V2} AS prediction FROM v_sensor
 conf AS (SELECT truth AS t, prediction AS p, count(*) AS n FROM pred GROUP BY 1, 2),
 ast AS (SELECT t AS label, sum(n) AS support, sum(CASE WHEN t = p THEN n ELSE 0 END) AS tp FROM conf GROUP BY t),
 ap AS (SELECT p AS label, sum(n) AS predicted FROM conf GROUP BY p),
-pc0 AS (SELECT coalesce(ast.label, ap.label) AS label, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp,
+pc0 AS (SELECT coalesce(ast.label, ap.label) AS label, CAST(coalesce(support, 0) AS BIGINT) AS support, coalesce(tp, 0) AS tp,
                coalesce(predicted, 0) AS predicted FROM ast FULL OUTER JOIN ap ON ast.label = ap.label),
 pc1 AS (SELECT label, support, tp,
                CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
@@ -454,19 +454,19 @@ pc AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall /
        FROM pc1)"""
 
 ORACLES["classification_scores"] = with_views(PRED + """
-SELECT sum(support) AS n, round(sum(tp) / sum(support), 9) AS accuracy, round(avg(precision), 9) AS precision_macro,
+SELECT CAST(sum(support) AS BIGINT) AS n, round(sum(tp) / sum(support), 9) AS accuracy, round(avg(precision), 9) AS precision_macro,
        round(avg(recall), 9) AS recall_macro, round(avg(f1), 9) AS f1_macro
 FROM pc""", "v_sensor")
 
 ORACLES["classification_report"] = with_views(PRED + """
 SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM pc
 UNION ALL
-SELECT 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), sum(support) FROM pc
+SELECT 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), CAST(sum(support) AS BIGINT) FROM pc
 UNION ALL
 SELECT 'weighted avg', round(sum(precision * support) / sum(support), 9), round(sum(recall * support) / sum(support), 9),
-       round(sum(f1 * support) / sum(support), 9), sum(support) FROM pc
+       round(sum(f1 * support) / sum(support), 9), CAST(sum(support) AS BIGINT) FROM pc
 UNION ALL
-SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 9), sum(support) FROM pc""", "v_sensor")
+SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 9), CAST(sum(support) AS BIGINT) FROM pc""", "v_sensor")
 
 ORACLES["dense_search"] = """
 WITH e AS (SELECT vec_id, embedding FROM embeddings),
