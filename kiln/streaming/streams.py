@@ -30,7 +30,7 @@ from kiln.sources.tables import table_path
 from kiln.sources.views import VIEW_DEPS, VIEW_SQL
 
 # --- fixed values -----------------------------------------------------------
-WEEK = "7 days"
+WEEK = "7 days"             # tumbling window length for window()-based variants
 MONDAY_OFFSET = "4 days"     # epoch day 0 is a Thursday; +4 days starts windows on Monday
 # -----------------------------------------------------------------------------
 
@@ -90,13 +90,20 @@ def stream_label_and_score(readings: DataFrame, model=None) -> DataFrame:
 
 
 def stream_weekly_cost(tickets: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Complaint compensation per Monday-start week (tumbling window)."""
+    """Complaint compensation per Monday-start week (tumbling weeks).
+
+    The week is the Monday of the wall-clock (TIMESTAMP_NTZ) value, so the
+    buckets do not depend on the session time zone; the watermark runs on the
+    same instant cast to TIMESTAMP.  (``window(ts, WEEK, WEEK, MONDAY_OFFSET)``
+    gives the same weeks when the session zone is UTC.)
+    """
     rate = fixed_map(reports.COMPENSATION_RATES)
-    t = event_time(tickets, "tanggal").withWatermark("tanggal", delay)
-    agg = t.groupBy(F.window("tanggal", WEEK, WEEK, MONDAY_OFFSET).alias("w")).agg(
+    t = (tickets.withColumn("minggu", reports.monday_week(F.col("tanggal")))
+         .withColumn("_event_time", F.col("tanggal").cast("timestamp"))
+         .withWatermark("_event_time", delay))
+    return t.groupBy("minggu").agg(
         F.sum(F.coalesce(rate[F.col("kategori")], F.lit(0))).cast("double").alias("biaya_kompensasi_cs_idr"),
         F.count(F.lit(1)).alias("n_tickets"))
-    return agg.select(F.to_date(F.col("w.start")).alias("minggu"), "biaya_kompensasi_cs_idr", "n_tickets")
 
 
 def stream_triage(questions: DataFrame) -> DataFrame:
