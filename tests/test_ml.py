@@ -26,3 +26,15 @@ def test_failure_model_floor_and_persistence(spark):
     assert a == b
     top = ml.score_failures(trained, test).select("top_classes").first().top_classes
     assert top.count("%") == 3
+
+
+def test_complaint_classifier_distribution(spark):
+    from kiln.operators import split
+    ds = split.prepare_text_dataset(Ctx(spark, SF).tickets).cache()
+    model = ml.train_complaint_classifier(ds.filter("split = 'train'"), max_iter=20)
+    out = ml.classify_complaints(model, ds.filter("split = 'test'")).collect()
+    assert out
+    for r in out[:20]:
+        probs = {kv.split("=")[0]: float(kv.split("=")[1]) for kv in r.distribution.split(", ")}
+        assert len(probs) == 4 and abs(sum(probs.values()) - 1) < 2e-3
+        assert abs(max(probs.values()) - r.confidence) < 1e-3 and probs[r.predicted_label] == max(probs.values())
