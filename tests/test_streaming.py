@@ -20,3 +20,13 @@ def test_stream_triage_equals_batch(spark):
     a = {tuple(r) for r in Q.QUERIES["stream_triage"](spark, SF).collect()}
     b = {tuple(r) for r in Q.QUERIES["triage"](spark, SF).collect()}
     assert a == b
+
+
+def test_stream_tool_usage_and_labels_equal_batch(spark):
+    a = {tuple(r) for r in Q.QUERIES["stream_tool_usage"](spark, SF).collect()}
+    u = Q.QUERIES["tool_usage_by_role"](spark, SF).collect()
+    b = {(r.run_id, r.agent_role, t) for r in u for t in r.tools.split(", ")}
+    assert a == b
+    s = {tuple(r) for r in Q.QUERIES["stream_label_and_score"](spark, SF).collect()}
+    t = {tuple(r) for r in Q.QUERIES["label_failures"](spark, SF).collect()}
+    assert s == t
