@@ -13,6 +13,8 @@ from kiln.session import ensure_checkpoint_dir
 SPACE_CLASS = r"\x20\x09-\x0D"
 # a key is "hot" when it holds more than one in HOT_SHARE rows: at most HOT_SHARE such keys exist
 HOT_SHARE = 1000
+# so few rows under one key never make a slow task
+FEW_ROWS = 10_000
 
 
 def words(text: Column) -> Column:
@@ -52,8 +54,8 @@ def join_unique(big: DataFrame, small: DataFrame, key: str, counts: DataFrame |
     Both sides should be narrow or materialised, as ``big`` is read twice.
     """
     counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    if total <= HOT_SHARE:
+    total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if most * HOT_SHARE <= total or most <= FEW_ROWS:
         return big.join(small, key)
     hot = [r[0] for r in counts.filter((F.col("n") * HOT_SHARE > total) & F.col(key).isNotNull()).select(key).collect()]
     if not hot:

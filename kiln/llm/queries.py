@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kiln.llm import quality
+from kiln.llm import neardup, quality
 from kiln.llm.common import read_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,3 +20,8 @@ def register(fn):
 @register
 def op1_quality_divergence(spark, sf_dir):
     return quality.score(read_documents(spark, sf_dir))
+
+
+@register
+def op9_minmax_neardup(spark, sf_dir):
+    return neardup.near_duplicates(read_documents(spark, sf_dir))
