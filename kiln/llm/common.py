@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kiln.session import ensure_checkpoint_dir
@@ -74,8 +74,6 @@ def running_total(df: DataFrame, groups: list[str], order: list[str], bucket: st
     buckets, and the totals of earlier buckets come from one small row per
     bucket.  The group columns must hold no null.
     """
-    from pyspark.sql import Window
-
     part = [*groups, bucket]
     before = (df.groupBy(*part).agg(F.sum(value).alias("_sum"))
               .withColumn("_before", F.coalesce(F.sum("_sum").over(
@@ -89,5 +87,9 @@ def running_total(df: DataFrame, groups: list[str], order: list[str], bucket: st
             .drop("_own", "_before"))
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    return read_table(spark, sf_dir, "documents")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kiln.llm import neardup, quality
-from kiln.llm.common import read_documents
+from kiln.llm import decontaminate, mixing, neardup, quality, sharding
+from kiln.llm.common import read_documents, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -22,6 +22,21 @@ def op1_quality_divergence(spark, sf_dir):
     return quality.score(read_documents(spark, sf_dir))
 
 
+@register
+def op2_template_decontamination(spark, sf_dir):
+    return decontaminate.find_leaks(read_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op5_minimax_sharding(spark, sf_dir):
+    return sharding.assign(read_documents(spark, sf_dir))
+
+
 @register
 def op9_minmax_neardup(spark, sf_dir):
     return neardup.near_duplicates(read_documents(spark, sf_dir))
+
+
+@register
+def op10_golden_ratio_mix(spark, sf_dir):
+    return mixing.mix(read_documents(spark, sf_dir))
