@@ -264,6 +264,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _named(prints, named)
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, the one with the smallest id, with its own columns.
+
+    Rows with a null id are kept.  Of several rows with the kept id one stays.
+    """
+    found = materialize(near_duplicates(docs, id_col, text_col).filter("kept and doc_id is not null").select("doc_id"))
+    ids = found.distinct()
+    n = ids.count()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("_id", F.col(id_col).cast("long"))
+    picked = ids.withColumnRenamed("doc_id", "_id")
+    kept = keyed.join(F.broadcast(picked) if n <= BROADCAST_IDS else picked, "_id", "left_semi")
+    if found.count() > n:
+        kept = kept.dropDuplicates(["_id"])
+    return kept.select(*columns).unionByName(docs.filter(F.col(id_col).isNull()))
+
+
 def _named(prints: DataFrame, named: DataFrame) -> DataFrame:
     """Hand the class's component to every document.  A hot class never meets in one task."""
     digest = F.concat_ws(":", "n_shingles", "d1", "d2").alias("class")
