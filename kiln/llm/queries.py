@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kiln.llm import decontaminate, mixing, neardup, quality, sharding
+from kiln.llm import decontaminate, mixing, neardup, quality, secrets, sharding
 from kiln.llm.common import read_documents, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,12 @@ def op2_template_decontamination(spark, sf_dir):
     return decontaminate.find_leaks(read_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
 
+@register
+def op3_secret_ledger(spark, sf_dir):
+    paths, _, findings = secrets.scan_versions(read_documents(spark, sf_dir))
+    return secrets.report(paths, findings)
+
+
 @register
 def op5_minimax_sharding(spark, sf_dir):
     return sharding.assign(read_documents(spark, sf_dir))
