@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kiln.llm import decontaminate, mixing, neardup, quality, secrets, sharding
+from kiln.llm import decontaminate, licenses, mixing, neardup, pseudonyms, quality, secrets, sharding
 from kiln.llm.common import read_documents, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,16 @@ def op5_minimax_sharding(spark, sf_dir):
     return sharding.assign(read_documents(spark, sf_dir))
 
 
+@register
+def op7_feistel_pseudonyms(spark, sf_dir):
+    return pseudonyms.pseudonymize(read_documents(spark, sf_dir), pseudonyms.DEMO_KEY)
+
+
+@register
+def op8_license_dice(spark, sf_dir):
+    return licenses.scan(read_documents(spark, sf_dir))
+
+
 @register
 def op9_minmax_neardup(spark, sf_dir):
     return neardup.near_duplicates(read_documents(spark, sf_dir))
