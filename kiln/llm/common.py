@@ -13,8 +13,8 @@ from kiln.session import ensure_checkpoint_dir
 SPACE_CLASS = r"\x20\x09-\x0D"
 # a key is "hot" when it holds more than one in HOT_SHARE rows: at most HOT_SHARE such keys exist
 HOT_SHARE = 1000
-# so few rows under one key never make a slow task
-FEW_ROWS = 10_000
+# so few narrow rows under one key never make a slow task
+FEW_ROWS = 50_000
 
 
 def words(text: Column) -> Column:
@@ -45,21 +45,22 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def join_unique(big: DataFrame, small: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
-    """Inner join of ``big`` with ``small`` (one row per key) that survives hot keys.
+    """Inner join of ``big`` with ``small`` (one row per key, or few) that survives hot keys.
 
     Keys that hold more than 1/1000 of the rows of ``big`` are at most 1000, so
     their rows of ``small`` are broadcast (a proven bound) and the rows of
     ``big`` under them never meet in one task; all other keys take a plain
-    shuffle join.  ``counts`` (key, n) may be passed when it is known already.
-    Both sides should be narrow or materialised, as ``big`` is read twice.
+    shuffle join, and so does everything when ``big`` has few rows.  ``counts``
+    (key, n) may be passed when it is known already.  ``big`` should be
+    materialised, as it is read again.
     """
+    if big.count() <= FEW_ROWS:
+        return big.join(small, key)
     counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
     total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     if most * HOT_SHARE <= total or most <= FEW_ROWS:
         return big.join(small, key)
     hot = [r[0] for r in counts.filter((F.col("n") * HOT_SHARE > total) & F.col(key).isNotNull()).select(key).collect()]
-    if not hot:
-        return big.join(small, key)
     is_hot = F.col(key).isin(hot)
     return big.filter(~is_hot).join(small.filter(~is_hot), key).unionByName(
         big.filter(is_hot).join(F.broadcast(small.filter(is_hot)), key))

@@ -8,20 +8,18 @@ from pyspark.sql import functions as F
 from kiln.llm.common import join_unique, materialize
 
 
+def _lowest(links: DataFrame) -> DataFrame:
+    return links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+
+
 def _round(links: DataFrame) -> DataFrame:
-    """One large-star and one small-star step; links are (u, v) with u > v."""
-    def lowest(sym):
-        return sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-
-    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = materialize(lowest(both))
-    large = (join_unique(both, low.select("u", "m"), "u", low.select("u", "n"))
-             .filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")))
+    """One large-star and one small-star step; links are (u, v) with u > v and materialised."""
+    both = materialize(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    large = (join_unique(both, _lowest(both), "u").filter(F.col("v") > F.col("u"))
+             .select(F.col("v").alias("u"), F.col("m").alias("v")))
     large = materialize(large.filter("u > v").distinct())
-    low = materialize(lowest(large))
-    small = join_unique(large, low.select("u", "m"), "u", low.select("u", "n"))
-    return materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-                       .unionByName(low.select("u", F.col("m").alias("v")))
+    small = join_unique(large, _lowest(large), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return materialize(small.unionByName(_lowest(large).select("u", F.col("m").alias("v")))
                        .filter("u > v").distinct())
 
 

@@ -177,7 +177,7 @@ def _block_links(group: pd.DataFrame) -> pd.DataFrame:
 
 
 class _Linker:
-    """Confirms candidate pairs and keeps the components of the confirmed ones."""
+    """Confirms candidate pairs and keeps the components of the links so far."""
 
     def __init__(self, reps: DataFrame, sets: DataFrame):
         self.reps, self.sets = reps, sets
@@ -196,37 +196,19 @@ class _Linker:
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         both = join_unique(join_unique(pairs, side["a"], "a"), side["b"], "b", _counts(pairs, "b"))
         both = both.filter(100 * F.least("n_a", "n_b") >= THRESHOLD_PERCENT * F.greatest("n_a", "n_b"))
-        return both.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long, share double")
+        return materialize(both.select("a", "b", "sig_a", "sig_b").mapInArrow(
+            _agreeing, "a long, b long, share double"))
 
-    def _confirm(self, pairs: DataFrame) -> DataFrame:
-        """pairs + ok: the exact test on the full sets."""
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (materialised) that pass the exact test on the full sets."""
         side = {x: self.sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab"}
         both = join_unique(join_unique(pairs, side["a"], "a"), side["b"], "b", _counts(pairs, "b"))
         shared = F.size(F.array_intersect("s_a", "s_b"))
         union = F.size("s_a") + F.size("s_b") - shared
-        return both.groupBy("a", "b").agg(F.max(100 * shared >= THRESHOLD_PERCENT * union).alias("ok"))
-
-    def settle(self, pairs: DataFrame) -> None:
-        """Confirm pairs until none is left between two components.
-
-        First only the best partner of each node, then all that still join
-        different components, so that a group of m copies costs about m checks.
-        """
-        left = materialize(pairs)
-        for most in (1, None):
-            if left.isEmpty():
-                return
-            result = materialize(self._confirm(left if most is None else materialize(_best(left, most))))
-            self.add(result.filter("ok").select("a", "b"))
-            if most is not None:
-                left = left.join(result.select("a", "b"), ["a", "b"], "left_anti")
-                left = materialize(self.labelled(self.labelled(left, "a", "ca"), "b", "cb")
-                                   .filter("ca <> cb").select("a", "b", "share"))
+        return both.filter(100 * shared >= THRESHOLD_PERCENT * union).select("a", "b")
 
     def add(self, links: DataFrame) -> None:
         """Close the components over more links."""
-        if links.isEmpty():
-            return
         if self.labels is not None:
             links = links.unionByName(
                 self.labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
@@ -237,12 +219,9 @@ def _counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _best(pairs: DataFrame, most: int) -> DataFrame:
-    """Of each node's pairs with a smaller node, the ``most`` that agree best."""
-    kept = pairs.groupBy("b").agg(F.slice(F.sort_array(F.collect_set(F.struct("share", "a")), asc=False), 1, most)
-                                  .alias("top")) if most > 1 else (
-        pairs.groupBy("b").agg(F.array(F.max(F.struct("share", "a"))).alias("top")))
-    return kept.select("b", F.explode("top").alias("t")).select(F.col("t.a").alias("a"), "b", F.col("t.share"))
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of each node's pairs with a smaller node, the one that agrees best."""
+    return pairs.groupBy("b").agg(F.max(F.struct("share", "a")).alias("t")).select(F.col("t.a").alias("a"), "b")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,14 +286,15 @@ def _link(classes: DataFrame, texts: DataFrame) -> _Linker:
                        .groupBy("rep", "d1").agg(F.max("shingles").alias("shingles")).select("rep", "shingles"))
     reps = materialize(classes.join(ids, "rep", "left_semi").select("rep", "sig", "n_shingles", "keys"))
     linker = _Linker(reps, sets)
-    linker.settle(linker.agreeing(members.filter("rep <> leader").select(
-        F.col("rep").alias("a"), F.col("leader").alias("b"))))
-    _link_rest(linker, members)
+    # a group of m copies costs about m exact checks here, and is one component afterwards
+    led = linker.agreeing(members.filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
+    linker.add(linker.confirmed(materialize(_best(led))))
+    linker.add(_rest(linker, members))
     return linker
 
 
-def _link_rest(linker: _Linker, members: DataFrame) -> None:
-    """Look at the pairs of a bucket that are still in different components."""
+def _rest(linker: _Linker, members: DataFrame) -> DataFrame:
+    """Links between members of a bucket that are still in different components."""
     m = materialize(linker.labelled(members.select("key", "band", "rep"), "rep", "component"))
     open_ = (m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                   F.count(F.lit(1)).alias("n"))
@@ -322,18 +302,18 @@ def _link_rest(linker: _Linker, members: DataFrame) -> None:
     m = materialize(join_unique(m, materialize(open_), "key", open_))
     small, large = m.filter(F.col("n") <= SMALL_BUCKET), m.filter(F.col("n") > SMALL_BUCKET)
     other = small.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    linker.settle(linker.agreeing(small.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-                                  .join(other, "key").filter("a < b and ca <> cb").select("a", "b")))
+    near = linker.agreeing(small.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
+                           .join(other, "key").filter("a < b and ca <> cb").select("a", "b"))
+    links = linker.confirmed(near.select("a", "b"))
     if large.isEmpty():
-        return
+        return links
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = large.select("key", "band", "rep", blocks.alias("blocks")).withColumn(
+    placed = large.select("key", "band", "rep", "component", blocks.alias("blocks")).withColumn(
         "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = linker.labelled(placed, "rep", "component")
-    payload = linker.reps.join(linker.sets, "rep")
     # one row for each pair of blocks in which a member's block takes part
     placed = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k"))
-    placed = join_unique(placed, payload, "rep").select(
+    payload = linker.reps.join(linker.sets, "rep")
+    placed = placed.join(payload, "rep").select(
         "key", "band", "i", "j", "block", "rep", "component", "n_shingles", "sig", "keys", "shingles")
-    linker.add(materialize(placed.groupBy("key", "i", "j").applyInPandas(_block_links, "a long, b long").distinct()))
+    return links.unionByName(placed.groupBy("key", "i", "j").applyInPandas(_block_links, "a long, b long"))
