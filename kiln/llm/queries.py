@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kiln.llm import decontaminate, licenses, mixing, neardup, pseudonyms, quality, secrets, sharding
+from kiln.llm import chat, decontaminate, langid, licenses, mixing, neardup, pseudonyms, quality, secrets, sharding
 from kiln.llm.common import read_documents, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,11 +34,25 @@ def op3_secret_ledger(spark, sf_dir):
     return secrets.report(paths, findings)
 
 
+@register
+def op4_chat_segments(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_segments(rows.unionByName(chat.probe(spark))))
+
+
 @register
 def op5_minimax_sharding(spark, sf_dir):
     return sharding.assign(read_documents(spark, sf_dir))
 
 
+@register
+def op6_zstd_language(spark, sf_dir):
+    docs = read_documents(spark, sf_dir)
+    train = docs.filter(~langid.held_out(F.col("doc_id")))
+    return langid.identify(docs, train).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @register
 def op7_feistel_pseudonyms(spark, sf_dir):
     return pseudonyms.pseudonymize(read_documents(spark, sf_dir), pseudonyms.DEMO_KEY)
