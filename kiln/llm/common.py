@@ -31,6 +31,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def row_struct(df: DataFrame) -> Column:
+    """All columns of ``df`` as one column ``_row``, so that no helper column can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's shared checkpoint folder and read it back.
 

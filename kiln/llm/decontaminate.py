@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm import shingles
-from kiln.llm.common import materialize
+from kiln.llm.common import materialize, row_struct
 
 WIDTH = 8
 MIN_LITERALS = 4
@@ -238,9 +238,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
 
     Rows are matched by the hash of their text, so copies go together and ids do not matter.
     """
-    keyed = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    leaks = materialize(find_leaks(keyed, benchmark, "_text_hash", text_col).select(
+    keyed = docs.select(row_struct(docs), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_text_hash"))
+    leaks = materialize(find_leaks(keyed, benchmark, "_text_hash", "text").select(
         F.col("doc_id").alias("_text_hash")).distinct())
     small = leaks.count() <= BROADCAST_WINDOWS
-    return keyed.join(F.broadcast(leaks) if small else leaks, "_text_hash", "left_anti").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(F.broadcast(leaks) if small else leaks, "_text_hash", "left_anti").select("_row.*")

@@ -14,7 +14,7 @@ The dictionaries are made from a bounded sample: of each language, the texts of
 ``DICTIONARIES * DICTIONARY_BYTES``.  Every row is read to draw it.
 
 Cases: a null text, or one without a letter, is "und" with score 0; ties go to
-the language that is first by name; copies of a text are sampled once; without
+the language with more labelled texts; copies of a text are sampled once; without
 any labelled text all rows are "und"; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -57,10 +57,10 @@ def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
         "text", 1, 8 * SAMPLE_CHARS[1]).alias("text"))
 
 
-def dictionaries(samples: DataFrame) -> dict[str, list[bytes]]:
-    """The raw content of each language's dictionaries; bounded by ``TOTAL_BYTES``."""
+def dictionaries(samples: DataFrame, counts: dict[str, int]) -> dict[str, list[bytes]]:
+    """The raw content of each language's dictionaries, frequent languages first; bounded by ``TOTAL_BYTES``."""
     rows = samples.orderBy("lang", "place").collect()
-    langs = sorted({r["lang"] for r in rows})
+    langs = sorted({r["lang"] for r in rows}, key=lambda x: (-counts[x], x))
     room = min(DICTIONARY_BYTES, TOTAL_BYTES // max(1, len(langs) * DICTIONARIES))
     out: dict[str, list[bytes]] = {}
     for lang in langs:
@@ -87,7 +87,7 @@ class Classifier:
             self.coders.append(own)
 
     def sizes(self, text: str) -> list[tuple[int, str]]:
-        """(compressed size, language), best first; ties by name."""
+        """(compressed size, language), best first; ties to the more frequent language."""
         data = text.lower().encode()
         pieces = [data[i:i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
         total = [0] * len(self.langs)
@@ -95,7 +95,7 @@ class Classifier:
             for i, own in enumerate(self.coders):
                 coder = own[k % len(own)]
                 total[i] += sum(len(coder.compress(p)) for p in pieces)
-            ranked = sorted(zip(total, self.langs, strict=True))
+            ranked = sorted(zip(total, self.langs, strict=True), key=lambda x: x[0])
             if len(ranked) < 2 or ranked[1][0] - ranked[0][0] > CLOSE_BYTES * (k + 1):
                 break
         return ranked
@@ -116,7 +116,9 @@ class Classifier:
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang") -> DataFrame:
     """doc_id, lang_pred, score, rejected of every row of ``docs``, learned from ``train``."""
-    raw = docs.sparkSession.sparkContext.broadcast(dictionaries(sample(train, text_col, lang_col)))
+    labelled = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).cast("string")).count().collect()}
+    raw = docs.sparkSession.sparkContext.broadcast(dictionaries(sample(train, text_col, lang_col), counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(raw.value)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.llm.common import materialize, running_total, words
+from kiln.llm.common import materialize, row_struct, running_total, words
 
 WEIGHTS = (3, 1, 2)          # of the sources in order, repeating
 SHARE = 1.5                  # words of the mix per word of the input
@@ -155,13 +155,12 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     go together).  Whole texts are never shuffled unless there are more than
     ``max_sources`` sources.
     """
-    columns = docs.columns
     _, placed = _placed(docs, id_col, text_col, source_col, weights, share, passes)
     bounds = materialize(placed.groupBy("named", "source").agg(
         F.array(*[F.max(F.when(F.col("n") >= p, F.col("r"))) for p in range(1, passes + 1)]).alias("bounds")))
     if bounds.count() <= max_sources:
         bounds = F.broadcast(bounds)
-    rows = _sized(docs, id_col, text_col, source_col, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    rows = _sized(docs, id_col, text_col, source_col, row_struct(docs))
     times = F.size(F.filter("bounds", lambda b: F.col("r") <= b))
     rows = rows.filter("size > 0").join(bounds, ["named", "source"]).withColumn("times", times).filter("times > 0")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("_row.*")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm import shingles
-from kiln.llm.common import join_unique, materialize
+from kiln.llm.common import join_unique, materialize, row_struct
 from kiln.llm.graph import components
 
 WIDTH = 5
@@ -251,13 +251,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = materialize(near_duplicates(docs, id_col, text_col).filter("kept and doc_id is not null").select("doc_id"))
     ids = found.distinct()
     n = ids.count()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("_id", F.col(id_col).cast("long"))
+    rows = docs.select(row_struct(docs), F.col(id_col).cast("long").alias("_id"))
     picked = ids.withColumnRenamed("doc_id", "_id")
-    kept = keyed.join(F.broadcast(picked) if n <= BROADCAST_IDS else picked, "_id", "left_semi")
+    kept = rows.join(F.broadcast(picked) if n <= BROADCAST_IDS else picked, "_id", "left_semi")
     if found.count() > n:
         kept = kept.dropDuplicates(["_id"])
-    return kept.select(*columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    return kept.unionByName(rows.filter("_id is null")).select("_row.*")
 
 
 def _named(prints: DataFrame, named: DataFrame) -> DataFrame:

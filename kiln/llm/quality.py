@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.llm.common import let, materialize, words
+from kiln.llm.common import let, materialize, row_struct, words
 
 WINDOW = 5
 MIN_WORDS = 10             # base rule
@@ -181,7 +181,7 @@ def keep_clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (references, then verdicts) and never shuffled.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
-                    F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+                    row_struct(docs))
     refs = _references(materialize(_measured(d.drop("_row"), max_langs)))
     return _judged(_measured(d, max_langs), refs, max_langs).filter("kept").select("_row.*")
 

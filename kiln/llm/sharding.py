@@ -24,7 +24,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import materialize, running_total
+from kiln.llm.common import materialize, row_struct, running_total
 
 SHARDS = 40
 OVERHEAD = 16            # bytes a document takes besides its text
@@ -155,9 +155,9 @@ def shard_of(h: Column, alone: list[int], cuts: list[int]) -> Column:
     return F.coalesce(own, rest).cast("int")
 
 
-def _sized(docs: DataFrame, text_col: str) -> DataFrame:
+def _sized(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select("*", (F.octet_length(text) + OVERHEAD).cast("long").alias("_size"),
+    return docs.select(*keep, (F.octet_length(text) + OVERHEAD).cast("long").alias("_size"),
                        F.xxhash64(text).alias("_h"), F.crc32(text).cast("long").alias("_crc"))
 
 
@@ -171,8 +171,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     Slots are numbered within (shard, bucket) and shifted by the rows of the
     shard's earlier buckets, so no task numbers a whole shard.
     """
-    sized = materialize(_sized(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
-                        .drop("text"))
+    sized = materialize(_sized(docs, text_col, F.col(id_col).alias("doc_id")))
     alone, cuts = plan(_groups(sized), shards)
     buckets = max(1, -(-sized.count() // SLOT_ROWS))
     placed = sized.withColumn("shard", shard_of(F.col("_h"), alone, cuts)).withColumn(
@@ -184,8 +183,10 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
 
 
 def with_shards(docs: DataFrame, text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """The rows of ``docs`` with their columns and ``shard``: whole rows are read twice and never shuffled."""
-    columns = docs.columns
-    alone, cuts = plan(_groups(_sized(docs.select(F.col(text_col)), text_col).drop(text_col)), shards)
-    return _sized(docs, text_col).withColumn("_shard", shard_of(F.col("_h"), alone, cuts)).select(
-        *[F.col(f"`{c}`") for c in columns], F.col("_shard").alias("shard"))
+    """The rows of ``docs`` with their columns and ``shard`` (which replaces a column of that name).
+
+    Whole rows are read twice and never shuffled.
+    """
+    alone, cuts = plan(_groups(_sized(docs, text_col)), shards)
+    rows = _sized(docs.drop("shard"), text_col, row_struct(docs.drop("shard")))
+    return rows.select("_row.*", shard_of(F.col("_h"), alone, cuts).alias("shard"))
