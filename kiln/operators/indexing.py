@@ -2,77 +2,53 @@
 
 ``row_number() OVER (PARTITION BY k ORDER BY o)`` sorts each key in a single
 task; with a key holding a third of all rows that task holds a third of the
-data.  ``row_index`` computes the same number in three distributed steps:
+data.  ``row_index`` computes the same number in three distributed steps, the
+same at every size:
 
-1. cut the order key into ranges (``bucket``) so that every range is small;
-2. count rows per (key, bucket) -- a tiny table -- and turn the counts into a
+1. range-partition the rows by (key, order) and name each range after its
+   partition; the ranges are kept in a reliable checkpoint, so that all later
+   steps see the same ones, also after an executor is lost;
+2. count rows per (key, range) -- a small table -- and turn the counts into a
    per-key running offset;
-3. number the rows inside each (key, bucket) and add the offset.
-
-Buckets come from the data itself (approximate quantiles of the order key, or
-a caller-supplied bucket column such as a hash prefix), so they are the same
-on every recomputation: no dependence on partition ids, nothing to checkpoint.
+3. number the rows inside each (key, range) and add the offset.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TARGET_ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 100_000
+from kiln.session import ensure_checkpoint_dir
 
 
-def quantile_buckets(df: DataFrame, order_col: str, out_col: str = "_bucket",
-                     target_rows: int = TARGET_ROWS_PER_BUCKET, n: int | None = None) -> DataFrame:
-    """Add a range-bucket column cut at approximate quantiles of ``order_col``.
-
-    Two bounded driver round-trips: a row count and ``n_buckets - 1`` split
-    points.  The split list is at most ``MAX_BUCKETS`` numbers.
-    """
-    n = df.count() if n is None else n
-    nb = max(1, min(MAX_BUCKETS, math.ceil(n / target_rows)))
-    if nb == 1:
-        return df.withColumn(out_col, F.lit(0.0))
-    probs = [i / nb for i in range(1, nb)]
-    cuts = df.approxQuantile(order_col, probs, 1.0 / (4 * nb))
-    splits = [-math.inf] + sorted(set(float(c) for c in cuts)) + [math.inf]
-    src = f"_{out_col}_src"
-    b = Bucketizer(splits=splits, inputCol=src, outputCol=out_col, handleInvalid="keep")
-    return b.transform(df.withColumn(src, F.col(order_col).cast("double"))).drop(src)
+def range_buckets(df: DataFrame, cols: list[str], out_col: str = "_bucket", ranges: int | None = None) -> DataFrame:
+    """Add the number of the row's range along ``cols`` (any orderable types, nulls first)."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (df.repartitionByRange(ranges, *[F.col(c) for c in cols])
+            .withColumn(out_col, F.spark_partition_id()).checkpoint())
 
 
 def row_index(df: DataFrame, order_col: str, partition_cols: tuple[str, ...] = (),
-              name: str = "row_index", bucket_col: str | None = None,
-              target_rows: int = TARGET_ROWS_PER_BUCKET) -> DataFrame:
+              name: str = "row_index", ranges: int | None = None) -> DataFrame:
     """0-based ``row_number() - 1`` over ``partition_cols`` ordered by ``order_col``.
 
     ``order_col`` must be unique within each partition key (ties would be
-    numbered arbitrarily, as with a plain window).  If ``bucket_col`` is given
-    it must be monotone in ``order_col`` (e.g. a prefix of it).
+    numbered arbitrarily, as with a plain window).  Null keys form a group,
+    null orders come first.  ``ranges`` defaults to the session's shuffle
+    partitions.
     """
     part = list(partition_cols)
-    if bucket_col is None:
-        n = df.count()
-        if n <= target_rows:
-            # one bucket: the input itself is small enough (checked) for a plain window
-            w = Window.partitionBy(*part).orderBy(order_col)
-            return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
-        df = quantile_buckets(df, order_col, "_bucket", target_rows, n)
-        bucket_col = "_bucket"
-        drop_bucket = True
-    else:
-        drop_bucket = False
-    keys = part + [bucket_col]
+    df = range_buckets(df, [*part, order_col], "_bucket", ranges)
+    keys = [*part, "_bucket"]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*part).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
+    w = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(c).alias(f"_o_{c}") for c in keys],
+                            F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
     local = Window.partitionBy(*keys).orderBy(order_col)
-    out = (df.withColumn("_rn", F.row_number().over(local))
-           .join(offsets, keys, "inner")
-           .withColumn(name, (F.col("_offset") + F.col("_rn") - 1).cast("bigint"))
-           .drop("_rn", "_offset"))
-    return out.drop(bucket_col) if drop_bucket else out
+    same = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in keys]
+    return (df.withColumn("_rn", F.row_number().over(local))
+            .join(offsets, same, "inner")
+            .withColumn(name, (F.col("_offset") + F.col("_rn") - 1).cast("bigint"))
+            .drop("_rn", "_offset", "_bucket", *[f"_o_{c}" for c in keys]))

@@ -237,8 +237,7 @@ SELECT k.key_id, k.key, min(v.row_order) AS row_order,
        arg_min(v.status_validasi, v.row_order) AS status_validasi,
        CAST(CASE WHEN count(v.vendor_id) > 0 THEN 1 ELSE 0 END AS INTEGER) AS found
 FROM v_vendor_keys k LEFT JOIN v_vendors v
-  ON contains(lower(v.vendor_id), lower(k.key)) OR contains(lower(v.nama_vendor), lower(k.key))
-WHERE length(k.key) > 0
+  ON length(k.key) > 0 AND (contains(lower(v.vendor_id), lower(k.key)) OR contains(lower(v.nama_vendor), lower(k.key)))
 GROUP BY k.key_id, k.key""", "v_vendor_keys", "v_vendors")
 
 _CHECKLIST_VALUES = ",\n  ".join(

@@ -10,13 +10,13 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kiln.operators.partitioning import spread
-
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+SCAN_PARTITIONS = "spark.kiln.scanPartitions"
+
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
@@ -40,7 +40,8 @@ class Tables:
         if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
         if name not in self._cache:
-            # a table stored as a few row groups scans as a few tasks: spread it
-            # to the cluster's parallelism (a no-op for large, many-file tables)
-            self._cache[name] = spread(read_table(self.spark, self.sf_dir, name))
+            df = read_table(self.spark, self.sf_dir, name)
+            # a caller's option for small tables that are one scan task: off by default, as it shuffles whole rows
+            parts = int(self.spark.conf.get(SCAN_PARTITIONS, "0"))
+            self._cache[name] = df.repartition(parts) if parts else df
         return self._cache[name]

@@ -17,7 +17,7 @@ from kiln.sources.tables import TABLES, Tables
 VIEW_SQL: dict[str, str] = {
     # machine sensor readings: every failure rule of the labeller fires
     "v_sensor": """
-SELECT concat('REC-', lpad(CAST(event_id AS VARCHAR(20)), 6, '0')) AS record_id,
+SELECT concat('REC-', lpad(CAST(event_id AS VARCHAR(20)), CAST(greatest(6, length(CAST(event_id AS VARCHAR(20)))) AS INTEGER), '0')) AS record_id,
  CASE user_id % 6 WHEN 0 THEN 'CNC-01' WHEN 1 THEN 'CNC-02' WHEN 2 THEN 'CNC-03'
                   WHEN 3 THEN 'CONV-01' WHEN 4 THEN 'CONV-02' ELSE 'PRESS-01' END AS machine_id,
  ts, CAST(2950 + event_id * 7 % 60 AS DOUBLE) / 10 AS air_temperature_k,
@@ -29,11 +29,11 @@ SELECT concat('REC-', lpad(CAST(event_id AS VARCHAR(20)), 6, '0')) AS record_id,
 FROM {events}""",
     # complaint tickets
     "v_tickets": """
-SELECT concat('TCK-', lpad(CAST(o_orderkey AS VARCHAR(20)), 6, '0')) AS ticket_id, o_orderdate AS tanggal,
+SELECT concat('TCK-', lpad(CAST(o_orderkey AS VARCHAR(20)), CAST(greatest(6, length(CAST(o_orderkey AS VARCHAR(20)))) AS INTEGER), '0')) AS ticket_id, o_orderdate AS tanggal,
  concat('PT ', CAST(o_custkey % 5 AS VARCHAR(20))) AS pelanggan,
  CASE o_orderpriority WHEN '1-URGENT' THEN 'eskalasi_kritikal' WHEN '2-HIGH' THEN 'produk_cacat'
                       WHEN '3-MEDIUM' THEN 'retur_barang' ELSE 'keterlambatan_pengiriman' END AS kategori,
- concat('Pesanan PO-', lpad(CAST(o_orderkey AS VARCHAR(20)), 6, '0'),
+ concat('Pesanan PO-', lpad(CAST(o_orderkey AS VARCHAR(20)), CAST(greatest(6, length(CAST(o_orderkey AS VARCHAR(20)))) AS INTEGER), '0'),
         ' belum sampai, sudah lewat ', CAST(o_orderkey % 9 + 1 AS VARCHAR(20)), ' hari') AS isi_komplain,
  CAST(o_custkey % 80 AS DOUBLE) / 10 AS waktu_respons_jam,
  CASE o_orderstatus WHEN 'F' THEN 'Selesai - kompensasi diberikan' WHEN 'O' THEN 'Dalam proses investigasi'
@@ -42,7 +42,7 @@ SELECT concat('TCK-', lpad(CAST(o_orderkey AS VARCHAR(20)), 6, '0')) AS ticket_i
 FROM {orders}""",
     # maintenance cases, one per order
     "v_cases": """
-SELECT concat('MTC-', lpad(CAST(l_orderkey AS VARCHAR(20)), 6, '0')) AS case_id,
+SELECT concat('MTC-', lpad(CAST(l_orderkey AS VARCHAR(20)), CAST(greatest(6, length(CAST(l_orderkey AS VARCHAR(20)))) AS INTEGER), '0')) AS case_id,
  CASE l_orderkey % 3 WHEN 0 THEN 'CNC-01' WHEN 1 THEN 'CONV-01' ELSE 'PRESS-01' END AS machine_id,
  CASE l_orderkey % 5 WHEN 0 THEN 'Tool Wear Failure' WHEN 1 THEN 'Heat Dissipation Failure'
    WHEN 2 THEN 'Power Failure' WHEN 3 THEN 'Overstrain Failure' ELSE 'Random Failure' END AS failure_type,
@@ -52,7 +52,7 @@ SELECT concat('MTC-', lpad(CAST(l_orderkey AS VARCHAR(20)), 6, '0')) AS case_id,
 FROM {lineitem} GROUP BY l_orderkey""",
     # vendor profiles
     "v_vendors": """
-SELECT concat('VND-', lpad(CAST(s_suppkey AS VARCHAR(20)), 4, '0')) AS vendor_id, s_name AS nama_vendor,
+SELECT concat('VND-', lpad(CAST(s_suppkey AS VARCHAR(20)), CAST(greatest(4, length(CAST(s_suppkey AS VARCHAR(20)))) AS INTEGER), '0')) AS vendor_id, s_name AS nama_vendor,
  CASE s_suppkey % 4 WHEN 0 THEN '-' WHEN 1 THEN 'NPWP; Sertifikat ISO 9001' WHEN 2 THEN 'NDA'
                     ELSE 'SIUP; Kontrak Kerjasama; NDA' END AS dokumen_belum_lengkap,
  CASE s_suppkey % 4 WHEN 0 THEN 'Lengkap - Aktif' WHEN 3 THEN 'Tertunda - Dokumen Kurang'
@@ -63,9 +63,9 @@ FROM {supplier}""",
     # two intents, one intent, out of scope, unknown id
     "v_queries": """
 SELECT o_orderkey AS query_id, CASE o_orderkey % 6
- WHEN 0 THEN concat('status tiket TCK-', lpad(CAST(o_orderkey AS VARCHAR(20)), 6, '0'),
-                    ' dan mtc-', lpad(CAST(o_orderkey + 3 AS VARCHAR(20)), 6, '0'))
- WHEN 1 THEN concat('pesanan po-', lpad(CAST(o_orderkey AS VARCHAR(20)), 6, '0'), ' belum sampai ke pelanggan')
+ WHEN 0 THEN concat('status tiket TCK-', lpad(CAST(o_orderkey AS VARCHAR(20)), CAST(greatest(6, length(CAST(o_orderkey AS VARCHAR(20)))) AS INTEGER), '0'),
+                    ' dan mtc-', lpad(CAST(o_orderkey + 3 AS VARCHAR(20)), CAST(greatest(6, length(CAST(o_orderkey + 3 AS VARCHAR(20)))) AS INTEGER), '0'))
+ WHEN 1 THEN concat('pesanan po-', lpad(CAST(o_orderkey AS VARCHAR(20)), CAST(greatest(6, length(CAST(o_orderkey AS VARCHAR(20)))) AS INTEGER), '0'), ' belum sampai ke pelanggan')
  WHEN 2 THEN 'Mesin CNC-01 sering error, berapa estimasi biaya kalau ditunda'
  WHEN 3 THEN 'Cek kelengkapan dokumen vendor dan sertifikat ISO'
  WHEN 4 THEN 'berapa gaji karyawan'
@@ -90,7 +90,7 @@ FROM {orders}""",
     # upper-case name prefix (matches several vendors: the first one wins)
     "v_vendor_keys": """
 SELECT s_suppkey AS key_id, CASE s_suppkey % 3
- WHEN 0 THEN lower(concat('VND-', lpad(CAST(s_suppkey AS VARCHAR(20)), 4, '0')))
+ WHEN 0 THEN lower(concat('VND-', lpad(CAST(s_suppkey AS VARCHAR(20)), CAST(greatest(4, length(CAST(s_suppkey AS VARCHAR(20)))) AS INTEGER), '0')))
  WHEN 1 THEN substr(s_name, 10)
  ELSE upper(substr(s_name, 1, length(s_name) - 1)) END AS key
 FROM {supplier}""",
@@ -99,7 +99,7 @@ FROM {supplier}""",
 SELECT event_id AS row_order,
  CASE user_id % 3 WHEN 0 THEN 'H' WHEN 1 THEN 'M' ELSE 'L' END AS type,
  concat(CASE user_id % 3 WHEN 0 THEN 'H' WHEN 1 THEN 'M' ELSE 'L' END,
-        lpad(CAST(event_id AS VARCHAR(20)), 5, '0')) AS product_id,
+        lpad(CAST(event_id AS VARCHAR(20)), CAST(greatest(5, length(CAST(event_id AS VARCHAR(20)))) AS INTEGER), '0')) AS product_id,
  CAST(2950 + event_id * 7 % 60 AS DOUBLE) / 10 AS air_temperature_k,
  CAST(3020 + event_id * 7 % 60 + event_id * 13 % 50 AS DOUBLE) / 10 AS process_temperature_k,
  1100 + event_id * 37 % 1000 AS rotational_speed_rpm,

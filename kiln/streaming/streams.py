@@ -29,12 +29,6 @@ from kiln.session import ensure_checkpoint_dir
 from kiln.sources.tables import table_path
 from kiln.sources.views import VIEW_DEPS, VIEW_SQL
 
-# --- fixed values -----------------------------------------------------------
-WEEK = "7 days"             # tumbling window length for window()-based variants
-MONDAY_OFFSET = "4 days"     # epoch day 0 is a Thursday; +4 days starts windows on Monday
-# -----------------------------------------------------------------------------
-
-
 @dataclass
 class StreamRun:
     checkpoint: str
@@ -84,9 +78,7 @@ def stream_tool_usage(log: DataFrame, delay: str = "3650 days") -> DataFrame:
 def stream_label_and_score(readings: DataFrame, model=None) -> DataFrame:
     """Stateless labelling (and optional model scoring) of sensor readings."""
     labelled = sensors.label_failures(readings)
-    if model is not None:
-        labelled = model.transform(labelled)
-    return labelled
+    return labelled if model is None else model.transform(labelled)
 
 
 def stream_weekly_cost(tickets: DataFrame, delay: str = "30 days") -> DataFrame:
@@ -119,18 +111,28 @@ def stream_triage(questions: DataFrame) -> DataFrame:
 
 # --- drivers --------------------------------------------------------------------
 
-def run_append(stream: DataFrame, run: StreamRun, timeout_s: int = 600) -> DataFrame:
+def _drain(query, timeout_s: float | None) -> None:
+    """Wait until the stream has ended.  Past a caller's limit it is stopped and
+    the call fails: a partial sink is never taken for the result."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"stream not drained within {timeout_s} s")
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def run_append(stream: DataFrame, run: StreamRun, timeout_s: float | None = None) -> DataFrame:
     """Drain a stream with ``availableNow`` into a parquet sink (append mode)."""
     q = (stream.writeStream.format("parquet").option("path", run.output)
          .option("checkpointLocation", run.checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise q.exception()
+    _drain(q, timeout_s)
     return stream.sparkSession.read.schema(stream.schema).parquet(run.output)
 
 
-def run_complete(stream: DataFrame, run: StreamRun, timeout_s: int = 600) -> DataFrame:
+def run_complete(stream: DataFrame, run: StreamRun, timeout_s: float | None = None) -> DataFrame:
     """Drain an aggregating stream in ``complete`` mode; each micro-batch
     rewrites the (small, windowed) result table idempotently."""
     def write(batch: DataFrame, _epoch: int) -> None:
@@ -138,7 +140,5 @@ def run_complete(stream: DataFrame, run: StreamRun, timeout_s: int = 600) -> Dat
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", run.checkpoint)
          .outputMode("complete").trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise q.exception()
+    _drain(q, timeout_s)
     return stream.sparkSession.read.schema(stream.schema).parquet(run.output)

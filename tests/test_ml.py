@@ -5,6 +5,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from kiln.operators import ml
+from kiln.operators.sensors import FEATURES
 from kiln.plans.context import Ctx
 
 SF = "/root/testdata/sf0.001"
@@ -12,20 +13,31 @@ SF = "/root/testdata/sf0.001"
 
 def test_failure_model_floor_and_persistence(spark):
     sensors = Ctx(spark, SF).sensor
-    trained = ml.train_failure_model(sensors, trees=20, depth=6, use_smote=True)
-    res = {r.approach: r for r in trained.results.collect()}
-    assert set(res) == {"Baseline", "SMOTE"} and sum(r.selected for r in res.values()) == 1
+    trained = ml.train_failure_model(sensors, trees=20, depth=6, boost_iter=1)
+    res = {(r.approach, r.model): r for r in trained.results.collect()}
+    assert set(res) == {(a, m) for a in ("Baseline", "SMOTE") for m in ("random_forest", "boosted_trees")}
+    assert sum(r.selected for r in res.values()) == 1
+    best = max(res.values(), key=lambda r: (r.f1_macro, -r.candidate_order))
+    assert best.selected == 1 and {r.rounds for r in res.values()} == {20, 1}
     test = ml.failure_dataset(sensors).filter(F.col("split") == "test").cache()
     majority = test.groupBy("failure_type").count().agg(F.max("count")).first()[0] / test.count()
     assert max(r.accuracy for r in res.values()) > majority
     path = tempfile.mkdtemp(prefix="kiln-model-") + "/m"
-    ml.save_model(trained, path)
-    again = ml.TrainedModel(ml.load_model(path), trained.labels, trained.results)
-    a = sorted((r.record_id, r.predicted_failure) for r in ml.score_failures(trained, test).collect())
-    b = sorted((r.record_id, r.predicted_failure) for r in ml.score_failures(again, test).collect())
-    assert a == b
-    top = ml.score_failures(trained, test).select("top_classes").first().top_classes
-    assert top.count("%") == 3
+    ml.save_model(trained.model, path)
+    again = ml.load_model(path)
+    assert ml.model_features(again) == FEATURES and ml.model_labels(again) == trained.labels
+    # raw readings go in, in any column order
+    raw = sensors.select("record_id", *reversed(FEATURES))
+    a = sorted((r.record_id, r.predicted_failure) for r in ml.score_failures(trained.model, raw).collect())
+    b = sorted((r.record_id, r.predicted_failure) for r in ml.score_failures(again, raw).collect())
+    assert a == b and len(a) == sensors.count()
+
+
+def test_top_classes(spark):
+    from pyspark.ml.functions import array_to_vector
+    p = spark.createDataFrame([([0.1, 0.2, 0.65, 0.05],)], "p array<double>")
+    got = p.select(ml.top_classes(array_to_vector("p"), ["a", "b", "c", "d"])).first()[0]
+    assert got == "c=65.00%, b=20.00%, a=10.00%"
 
 
 def test_complaint_classifier_distribution(spark):

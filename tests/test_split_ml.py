@@ -28,13 +28,31 @@ def test_split_quotas_and_exactness(spark):
 
 def test_row_index_equals_window(spark):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    got = indexing.row_index(ev, "event_id", ("event_type",), name="ri", target_rows=97)
+    got = indexing.row_index(ev, "event_id", ("event_type",), name="ri", ranges=37)
     w = Window.partitionBy("event_type").orderBy("event_id")
     exp = ev.withColumn("ri2", F.row_number().over(w) - 1)
     j = got.join(exp, "event_id").filter(F.col("ri") != F.col("ri2"))
     assert j.count() == 0 and got.count() == ev.count()
 
 
+def test_row_index_any_key_and_order(spark):
+    """Null groups and null, string or timestamp orders, over many ranges."""
+    rows = [(f"k{i:03d}" if i else None, None if i % 3 == 0 else f"g{i % 2}", i) for i in range(90)]
+    df = (spark.createDataFrame(rows, "o string, g string, i int")
+          .withColumn("t", F.expr("timestamp'2026-01-01' + make_interval(0, 0, 0, i)")))
+    for order in ("o", "t"):
+        got = indexing.row_index(df, order, ("g",), ranges=17)
+        w = Window.partitionBy("g").orderBy(order)
+        assert got.count() == 90
+        assert got.withColumn("want", F.row_number().over(w) - 1).filter("row_index <> want").count() == 0
+
+
+def test_split_keeps_rows_without_label(spark):
+    df = spark.createDataFrame([(f"k{i}", None if i % 3 == 0 else "a") for i in range(30)], "id string, label string")
+    out = split.stratified_split(df, "id")
+    assert out.count() == 30 and out.filter("split = 'test'").count() == 6
+
+
 def test_class_weights_balanced(spark):
     df = spark.createDataFrame([(0,)] * 6 + [(1,)] * 2, "q int")
     w = {r.label: r.weight for r in split.class_weights(df, "q").collect()}

@@ -1,10 +1,12 @@
 """Streams driven to completion equal their batch counterparts."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from kiln.operators import reports
 from kiln.plans import queries as Q
 from kiln.plans.context import Ctx
+from kiln.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,6 +18,13 @@ def test_stream_weekly_cost_equals_batch(spark):
     assert s == b
 
 
+def test_stream_past_its_limit_raises(spark):
+    slow = F.udf(lambda x: __import__("time").sleep(20) or x, "long")
+    s = streams.read_stream(spark, SF, "events").select(slow("event_id").alias("event_id"))
+    with pytest.raises(TimeoutError):
+        streams.run_append(s, streams.new_run(spark, "slow"), timeout_s=1)
+
+
 def test_stream_triage_equals_batch(spark):
     a = {tuple(r) for r in Q.QUERIES["stream_triage"](spark, SF).collect()}
     b = {tuple(r) for r in Q.QUERIES["triage"](spark, SF).collect()}
