@@ -98,7 +98,8 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
         own = F.broadcast(own)
     # the row number tells repeated rows apart; it is the same whenever a task reads its split again
     d = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-                    F.posexplode(units(F.col(text_col).cast("string"))).alias("unit", "t"))
+                    units(F.col(text_col).cast("string")).alias("units"))
+    d = d.select("doc_id", "row", F.posexplode("units").alias("unit", "t"))
     d = d.select("doc_id", "row", "unit", normalised(F.col("t")).alias("w"))
     # a set of m bigrams comes from more than m words; only long repetitive units have many words for few bigrams
     d = d.filter(F.size("w") > F.lit((low or 0) * ratio)).select("doc_id", "row", "unit", bigrams(F.col("w")).alias("b"))

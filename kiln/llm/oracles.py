@@ -1,5 +1,156 @@
-"""DuckDB SQL of the training-data queries that SQL can express."""
+"""DuckDB SQL of the training-data queries that SQL can express.
+
+Written from the definitions, not from the operators: windows, shingles and
+bigrams are compared as text, not as hashes, and links are found by a plain
+join of equal shingles.  Pseudonyms, compression, template windows, the
+capacity search, the schedule (64-bit hashes) and chat escaping have no SQL;
+their tests compare with brute force.
+"""
 
 from __future__ import annotations
 
+from kiln.llm import licenses, quality, secrets
+
 ORACLES: dict[str, str] = {}
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_Q = quality
+ORACLES["op1_quality_divergence"] = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + {_Q.WINDOW - 1}], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {_Q.WINDOW - 1})) AS i FROM d WHERE len(w) >= {_Q.WINDOW})),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),
+rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n
+  FROM (SELECT doc_id, unnest(generate_series(i, i + {_Q.WINDOW - 1})) AS p FROM twice) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+base AS (
+  SELECT d.doc_id, lang, t, w, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+judged AS (
+  SELECT *, n_words < {_Q.MIN_WORDS} OR 100 * n_repeat_words > {_Q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM base),
+counted AS (
+  SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM d)
+  WHERE length(word) <= {_Q.MAX_COMMON_CHARS} GROUP BY lang, word),
+common AS (
+  SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM counted
+  QUALIFY place <= {_Q.COMMON_WORDS}),
+hist AS (
+  SELECT doc_id, 'c' || k AS bin, n FROM (
+    SELECT doc_id, unnest([1, 2, 3, 4, 5, 6]) AS k,
+           unnest([sp, up, dg, pu, sy, length(t) - sp - up - dg - pu - sy]) AS n
+    FROM (SELECT doc_id, t, length(t) - word_chars AS sp, length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS up,
+                 length(regexp_replace(t, '[^\\p{{Nd}}]+', '', 'g')) AS dg,
+                 length(regexp_replace(t, '[^.,;:!?''"()\\-]+', '', 'g')) AS pu, n_symbols AS sy FROM judged))
+  UNION ALL
+  SELECT x.doc_id, 'w' || coalesce(place, 0), count(*)
+  FROM (SELECT doc_id, lang, unnest(w) AS word FROM d) x LEFT JOIN common USING (lang, word) GROUP BY ALL),
+once AS (SELECT lang, min(doc_id) AS doc_id FROM judged WHERE NOT base_failed GROUP BY lang, t),
+ref AS (SELECT lang, bin, sum(n) AS n FROM once JOIN hist USING (doc_id) GROUP BY lang, bin),
+ref_share AS (SELECT lang, bin, n / sum(n) OVER (PARTITION BY lang, bin[1]) AS q FROM ref),
+own_share AS (SELECT doc_id, bin, n / greatest(sum(n) OVER (PARTITION BY doc_id, bin[1]), 1) AS p FROM hist),
+sides AS (
+  SELECT j.doc_id, r.bin[1] AS kind, coalesce(p, 0) AS p, q
+  FROM judged j JOIN ref_share r USING (lang) LEFT JOIN own_share o ON o.doc_id = j.doc_id AND o.bin = r.bin
+  UNION ALL
+  SELECT o.doc_id, o.bin[1], p, 0 FROM own_share o JOIN judged USING (doc_id)
+  WHERE lang IN (SELECT lang FROM ref_share) AND (lang, bin) NOT IN (SELECT (lang, bin) FROM ref_share)),
+js AS (
+  SELECT doc_id, kind, sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+                                          + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2), 0)) AS js
+  FROM sides GROUP BY doc_id, kind),
+scored AS (
+  SELECT j.*, CASE WHEN length(t) >= {_Q.MIN_CHARS} THEN c.js END AS cd,
+         CASE WHEN n_words >= {_Q.MIN_COMPARED_WORDS} THEN w.js END AS wd
+  FROM judged j LEFT JOIN js c ON c.doc_id = j.doc_id AND c.kind = 'c' LEFT JOIN js w ON w.doc_id = j.doc_id AND w.kind = 'w')
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(cd > {_Q.MAX_CLASS_DISTANCE} + {_Q.CLASS_SLACK_CHARS} / length(t), false)
+       AND NOT coalesce(wd > {_Q.MAX_WORD_DISTANCE}, false) AS kept,
+       round(cd, 6) AS class_distance, round(wd, 6) AS word_distance
+FROM scored"""
+
+
+def _rule_sql(k: int, r: secrets.Rule) -> str:
+    pattern = _text(r.pattern)
+    return f"""
+  SELECT doc_id, {k} AS k, {_text(r.name)} AS kind, a AS start, a + length(m[i]) AS stop
+  FROM (SELECT doc_id, i, m, g,
+               list_sum(list_transform(p[1:i], lambda x: length(x)))
+               + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a
+        FROM (SELECT *, unnest(generate_series(1, len(m))) AS i
+              FROM (SELECT doc_id, regexp_extract_all(t, {pattern}, 0) AS m, regexp_extract_all(t, {pattern}, {r.group}) AS g,
+                           string_split_regex(t, {pattern}) AS p FROM d WHERE regexp_matches(t, {pattern}))))
+  WHERE length(g[i]) >= {r.least}"""
+
+
+_SPAN = "kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT)"
+_IS_BASE = "kind IN (" + ", ".join(map(_text, secrets.BASE)) + ")"
+ORACLES["op3_secret_ledger"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({' UNION ALL '.join(_rule_sql(k, r) for k, r in enumerate(secrets.RULES))}),
+per AS (
+  SELECT doc_id, {', '.join(f"count(*) FILTER (kind = {_text(n)}) AS n_{n}" for n in secrets.BASE)},
+         coalesce(string_agg({_SPAN}, ',' ORDER BY start, k) FILTER ({_IS_BASE}), '') AS base,
+         string_agg({_SPAN}, ',' ORDER BY start, k) AS spans, count(*) AS n_spans
+  FROM found GROUP BY doc_id)
+SELECT doc_id, {', '.join(f"coalesce(n_{n}, 0) AS n_{n}" for n in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans
+FROM d LEFT JOIN per USING (doc_id)"""
+
+_NORMAL = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{Nd}}]+'), lambda x: x <> '')"
+_BIGRAMS = "list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))"
+ORACLES["op8_license_dice"] = f"""
+WITH t AS (
+  SELECT template, license, {_BIGRAMS} AS b
+  FROM (SELECT template, license, {_NORMAL.format('text')} AS w FROM (VALUES
+    {', '.join(f"({k}, {_text(lic)}, {_text(text)})" for k, (lic, text) in enumerate(licenses.TEMPLATES))}
+  ) v(template, license, text))),
+u AS (
+  SELECT DISTINCT doc_id, unit FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents
+    UNION ALL SELECT doc_id, unnest(string_split_regex(text, '\\n[\\x20\\x09\\r]*\\n')) FROM documents
+    UNION ALL SELECT doc_id, text FROM documents) WHERE unit IS NOT NULL),
+b AS (
+  SELECT doc_id, unit, {_BIGRAMS} AS b FROM (SELECT doc_id, unit, {_NORMAL.format('unit')} AS w FROM u) WHERE len(w) > 1),
+hit AS (
+  SELECT doc_id, unit, license, template, any_value(m) AS size, 2 * count(*) / (any_value(m) + any_value(n)) AS dice
+  FROM (SELECT doc_id, unit, len(b) AS m, unnest(b) AS bigram FROM b WHERE len(b) < 1000)
+  JOIN (SELECT template, license, len(b) AS n, unnest(b) AS bigram FROM t) USING (bigram)
+  GROUP BY doc_id, unit, license, template),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license, size) AS r
+  FROM hit WHERE dice >= {licenses.THRESHOLD} QUALIFY r = 1)
+SELECT doc_id, license, max(dice) AS dice, CAST(arg_min(size, [-dice, size]) AS BIGINT) AS unit_bigrams, count(*) AS n_units
+FROM best GROUP BY doc_id, license"""
+
+ORACLES["op9_minmax_neardup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 75 * (x.n + y.n - m)),
+reach AS (
+  SELECT doc_id AS id, doc_id AS other FROM d
+  UNION
+  SELECT id, b FROM reach JOIN links ON a = other)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
+FROM d JOIN reach ON id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""

@@ -20,7 +20,8 @@ def register(fn):
 
 @register
 def op1_quality_divergence(spark, sf_dir):
-    return quality.score(read_documents(spark, sf_dir))
+    scored = quality.score(read_documents(spark, sf_dir))
+    return scored.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 @register
