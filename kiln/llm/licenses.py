@@ -4,17 +4,22 @@ The units of a text are its lines, its paragraphs (between blank lines) and the
 whole text.  A unit and a licence template are normalised to lower-case words;
 they match when the Dice coefficient of their distinct word bigrams reaches the
 threshold.  Size bounds prune first: with Dice t, the smaller bigram set has at
-least t / (2 - t) times the members of the larger.  Matches are then counted by
-a hash join of bigrams, so no unit is compared with every template.
+least t / (2 - t) times the members of the larger.  So a unit that matches a
+template has about two thirds of the template's bigrams, and at least one word
+of any set of words that touches the other third; texts without such a word are
+left out after one look at their words.  Matches are then counted by a hash
+join of bigrams, so no unit is compared with every template.
 
 Cases: null and blank texts and units of one word match nothing; a unit that
 comes twice in a text counts once, under the licence whose template is closest
-(the first by name, if two are as close); repeated rows give their licence once for each id; an empty table gives
-an empty result; other columns are ignored.
+(the first by name, if two are as close); repeated rows give their licence once
+for each id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +90,26 @@ def units(text: Column) -> Column:
         F.split(t, "\n"), F.split(t, "\n[\\x20\\x09\\r]*\n"), F.array(t)))).otherwise(F.array(t)))
 
 
+def anchors(templates: dict[int, list[str]], threshold: float) -> list[str]:
+    """Words of which every text that matches a template has at least one.
+
+    A match has at least threshold * (1 + ratio) / 2 of the template's bigrams.
+    For each template the longest words are taken until they touch more bigrams
+    than a match may lack.
+    """
+    share = threshold * (1 + threshold / (2 - threshold)) / 2
+    out: set[str] = set()
+    for own in templates.values():
+        may_lack = len(own) - math.ceil(share * len(own) - 1e-9)
+        left = {b: set(b.split(" ")) for b in own}
+        for word in sorted({w for b in own for w in b.split(" ")}, key=lambda w: (w not in out, -len(w), w)):
+            if len(own) - len(left) > may_lack:
+                break
+            left = {b: ws for b, ws in left.items() if word not in ws}
+            out.add(word)
+    return sorted(out)
+
+
 def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
          threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, dice (of the best unit), n_units (that match), unit_bigrams (of the best unit)."""
@@ -93,12 +118,16 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
         "n", F.size("b")).filter("n > 0")
     low, high, total = own.agg(F.min("n"), F.max("n"), F.sum("n")).first()
     ratio = threshold / (2 - threshold)
-    own = own.select("template", "license", "n", F.explode("b").alias("bigram"))
+    text = F.col(text_col).cast("string")
     if (total or 0) <= BROADCAST_BIGRAMS:
-        own = F.broadcast(own)
+        needed = anchors({r["template"]: r["b"] for r in own.select("template", "b").collect()}, threshold)
+        docs = docs.filter(F.arrays_overlap(normalised(text), F.array(*map(F.lit, needed)).cast("array<string>")))
+        own = F.broadcast(own.select("template", "license", "n", F.explode("b").alias("bigram")))
+    else:
+        own = own.select("template", "license", "n", F.explode("b").alias("bigram"))
     # the row number tells repeated rows apart; it is the same whenever a task reads its split again
     d = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-                    units(F.col(text_col).cast("string")).alias("units"))
+                    units(text).alias("units"))
     d = d.select("doc_id", "row", F.posexplode("units").alias("unit", "t"))
     d = d.select("doc_id", "row", "unit", normalised(F.col("t")).alias("w"))
     # a set of m bigrams comes from more than m words; only long repetitive units have many words for few bigrams
