@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from kiln.llm.common import let
 
 THRESHOLD = 0.8
+SLACK = 1e-9                    # of the size bounds, against rounding
 BROADCAST_BIGRAMS = 200_000     # template bigrams sent to every task (some 20 MB); beyond, a shuffle join
 # fixed values: licence notices as their licences word them (id, text)
 TEMPLATES = (
@@ -131,10 +132,10 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
     d = d.select("doc_id", "row", F.posexplode("units").alias("unit", "t"))
     d = d.select("doc_id", "row", "unit", normalised(F.col("t")).alias("w"))
     # a set of m bigrams comes from more than m words; only long repetitive units have many words for few bigrams
-    d = d.filter(F.size("w") > F.lit((low or 0) * ratio)).select("doc_id", "row", "unit", bigrams(F.col("w")).alias("b"))
-    d = d.withColumn("size", F.size("b")).filter(F.col("size").between((low or 0) * ratio, (high or 0) / ratio))
+    d = d.filter(F.size("w") > F.lit((low or 0) * ratio - SLACK)).select("doc_id", "row", "unit", bigrams(F.col("w")).alias("b"))
+    d = d.withColumn("size", F.size("b")).filter(F.col("size").between((low or 0) * ratio - SLACK, (high or 0) / ratio + SLACK))
     pairs = d.select("doc_id", "row", "unit", "size", F.explode("b").alias("bigram")).join(own, "bigram").filter(
-        F.col("size").between(F.col("n") * ratio, F.col("n") / ratio))
+        F.col("size").between(F.col("n") * ratio - SLACK, F.col("n") / ratio + SLACK))
     dice = 2 * F.count(F.lit(1)) / (F.max("size") + F.max("n"))
     found = pairs.groupBy("doc_id", "row", "unit", "license", "template").agg(
         dice.alias("dice"), F.max("size").alias("size")).filter(F.col("dice") >= threshold)
