@@ -201,13 +201,18 @@ TICKET_SUMMARY = "'[' || kategori || '] ' || isi_komplain || ' (status: ' || sta
 
 ENTITIES = f""",
 ent AS (
-  SELECT 'ticket' AS id_type, upper(ticket_id) AS id, row_order, ticket_id AS matched_id, {TICKET_SUMMARY} AS summary
+  SELECT 'ticket' AS id_type, upper(ticket_id) AS id, row_order, ticket_id AS matched_id,
+         '[' || kategori || '] ' || isi_komplain || ' (status: ' || status_resolusi || ', waktu_respons: '
+         || CAST(waktu_respons_jam AS VARCHAR) || ' jam)' AS summary
   FROM v_tickets
   UNION ALL
-  SELECT 'maintenance_case', upper(case_id), row_order, case_id, '[' || machine_id || '] ' || failure_type FROM v_cases
+  SELECT 'maintenance_case', upper(case_id), row_order, case_id, '[' || machine_id || '] ' || failure_type
+         || ': ' || catatan_teknisi || ' (downtime: ' || CAST(downtime_jam AS VARCHAR) || ' jam, biaya: Rp'
+         || format('{{:,.0f}}', biaya_perbaikan_idr) || ')' FROM v_cases
   UNION ALL
   SELECT 'sensor_record', upper(record_id), row_order, record_id,
          'machine_id=' || machine_id || ', failure_type=' || ({LABEL_V3}) || ', tool_wear_min=' || CAST(tool_wear_min AS VARCHAR)
+         || ', torque_Nm=' || CAST(torque_nm AS VARCHAR)
   FROM v_sensor),
 plain AS (
   SELECT i.query_id, i.id_type, i.pos, i.id, arg_min(e.matched_id, e.row_order) AS matched_id,

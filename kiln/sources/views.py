@@ -48,6 +48,7 @@ SELECT concat('MTC-', lpad(CAST(l_orderkey AS VARCHAR(20)), CAST(greatest(6, len
    WHEN 2 THEN 'Power Failure' WHEN 3 THEN 'Overstrain Failure' ELSE 'Random Failure' END AS failure_type,
  min(l_shipdate) AS tanggal, CAST(count(*) AS DOUBLE) AS downtime_jam,
  CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS biaya_perbaikan_idr,
+ concat('downtime ', CAST(count(*) AS VARCHAR(20)), ' jam') AS catatan_teknisi,
  l_orderkey AS row_order
 FROM {lineitem} GROUP BY l_orderkey""",
     # vendor profiles
