@@ -13,8 +13,8 @@ from kiln.session import ensure_checkpoint_dir
 SPACE_CLASS = r"\x20\x09-\x0D"
 # a key is "hot" when it holds more than one in HOT_SHARE rows: at most HOT_SHARE such keys exist
 HOT_SHARE = 1000
-# so few narrow rows under one key never make a slow task
-FEW_ROWS = 50_000
+# so few narrow rows (some 10 MB) can be broadcast, and never make a slow task
+FEW_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -36,31 +36,35 @@ def row_struct(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the session's shared checkpoint folder and read it back.
 
     Cuts the lineage: later jobs read the columns they need from files that
-    every executor sees, also after an executor is lost.
+    every executor sees, also after an executor is lost.  With ``rows`` known
+    to be few, they go to few files.
     """
     spark = df.sparkSession
+    if rows is not None and rows <= FEW_ROWS:
+        df = df.coalesce(spark.sparkContext.defaultParallelism)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def join_unique(big: DataFrame, small: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+def join_unique(big: DataFrame, small: DataFrame, key: str, counts: DataFrame | None = None,
+                rows: int | None = None, narrow: bool = True) -> DataFrame:
     """Inner join of ``big`` with ``small`` (one row per key, or few) that survives hot keys.
 
     Keys that hold more than 1/1000 of the rows of ``big`` are at most 1000, so
     their rows of ``small`` are broadcast (a proven bound) and the rows of
     ``big`` under them never meet in one task; all other keys take a plain
-    shuffle join, and so does everything when ``big`` has few rows.  ``counts``
-    (key, n) may be passed when it is known already.  ``big`` should be
-    materialised, as it is read again.
+    shuffle join.  When ``big`` has few rows it is broadcast itself, unless its
+    rows are not ``narrow``.  ``counts`` (key, n) and ``rows`` may be passed when
+    they are known already.  ``big`` should be materialised, as it is read again.
     """
-    if big.count() <= FEW_ROWS:
-        return big.join(small, key)
+    if (big.count() if rows is None else rows) <= FEW_ROWS:
+        return (F.broadcast(big) if narrow else big).join(small, key)
     counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
     total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     if most * HOT_SHARE <= total or most <= FEW_ROWS:

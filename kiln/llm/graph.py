@@ -12,15 +12,15 @@ def _lowest(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
-def _round(links: DataFrame) -> DataFrame:
-    """One large-star and one small-star step; links are (u, v) with u > v and materialised."""
-    both = materialize(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    large = (join_unique(both, _lowest(both), "u").filter(F.col("v") > F.col("u"))
+def _round(links: DataFrame, n: int) -> DataFrame:
+    """One large-star and one small-star step; links are ``n`` materialised rows (u, v) with u > v."""
+    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    large = (join_unique(both, _lowest(both), "u", rows=2 * n).filter(F.col("v") > F.col("u"))
              .select(F.col("v").alias("u"), F.col("m").alias("v")))
-    large = materialize(large.filter("u > v").distinct())
-    small = join_unique(large, _lowest(large), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = materialize(large.filter("u > v").distinct(), n)
+    small = join_unique(large, _lowest(large), "u", rows=n).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return materialize(small.unionByName(_lowest(large).select("u", F.col("m").alias("v")))
-                       .filter("u > v").distinct())
+                       .filter("u > v").distinct(), n)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
                       .distinct())
     mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while mark[0]:
-        now = _round(now)
+        now = _round(now, mark[0])
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break

@@ -194,7 +194,8 @@ class _Linker:
         side = {x: self.reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"),
                                     F.col("n_shingles").alias(f"n_{x}")) for x in "ab"}
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        both = join_unique(join_unique(pairs, side["a"], "a"), side["b"], "b", _counts(pairs, "b"))
+        n = pairs.count()
+        both = join_unique(join_unique(pairs, side["a"], "a", rows=n), side["b"], "b", _counts(pairs, "b"), n, False)
         both = both.filter(100 * F.least("n_a", "n_b") >= THRESHOLD_PERCENT * F.greatest("n_a", "n_b"))
         return materialize(both.select("a", "b", "sig_a", "sig_b").mapInArrow(
             _agreeing, "a long, b long, share double"))
@@ -202,7 +203,8 @@ class _Linker:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (materialised) that pass the exact test on the full sets."""
         side = {x: self.sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab"}
-        both = join_unique(join_unique(pairs, side["a"], "a"), side["b"], "b", _counts(pairs, "b"))
+        n = pairs.count()
+        both = join_unique(join_unique(pairs, side["a"], "a", rows=n), side["b"], "b", _counts(pairs, "b"), n, False)
         shared = F.size(F.array_intersect("s_a", "s_b"))
         union = F.size("s_a") + F.size("s_b") - shared
         return both.filter(100 * shared >= THRESHOLD_PERCENT * union).select("a", "b")
