@@ -279,7 +279,8 @@ def _link(classes: DataFrame, texts: DataFrame) -> _Linker:
     order = F.struct(F.xxhash64("rep").alias("h"), F.col("rep"))
     buckets = materialize(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lead"))
                           .filter("n > 1").select("key", "n", F.col("lead.rep").alias("leader")))
-    members = materialize(join_unique(bands, buckets.select("key", "leader"), "key", buckets.select("key", "n")))
+    members = materialize(join_unique(bands, buckets.select("key", "leader"), "key", buckets.select("key", "n"),
+                                      rows=BANDS * classes.count()))
     ids = materialize(members.select("rep").distinct())
     few = ids.count() <= BROADCAST_IDS
     own = texts.join(F.broadcast(ids) if few else ids, "rep", "left_semi")
