@@ -333,7 +333,7 @@ def stream_triage(spark, sf_dir):
 
 # Boosting rounds (per class) of the registered training queries; the reference's count, ml.BOOST_ITER, would be
 # some thousand sequential jobs.  The results carry the count.
-BENCH_BOOST_ROUNDS = 5
+BENCH_BOOST_ROUNDS = 2
 
 def _failure_train(c: Ctx) -> DataFrame:
     # read by several scalar subqueries, the k-NN graph and the ranking: persist once
