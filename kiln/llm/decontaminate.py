@@ -8,12 +8,16 @@ repeats an item with other numbers or names maps each value of the item to one
 value of its own (slot consistency); accidental template matches do not.
 
 A document leaks an item when at least half of the item's windows occur in it,
-or ``MIN_RUN`` of them, with consistent slots.
+or ``MIN_RUN`` of them, with consistent slots.  Slots are judged per occurrence
+of the item: the windows on one alignment (place in the document minus place in
+the item), those of one run (until the item starts again), those with the
+item's own values, and all windows of the document; one consistent occurrence
+is enough, and the one with most windows is reported.
 
 Cases: null or blank texts match nothing; items with fewer tokens than a window
 are one shorter window; items with fewer than ``MIN_LITERALS`` literal tokens in
 a window are not matched there (placeholders alone say nothing); repeated rows
-count once; empty tables give an empty result; a null id is reported as null;
+count once, and different texts under one id are judged apart; empty tables give an empty result; a null id is reported as null;
 other columns are ignored.
 """
 
@@ -23,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.llm import shingles
@@ -51,7 +55,7 @@ _SMALL[97:123] = _SMALL[128:] = True
 _POINT[[44, 46]] = True
 _STOP[[10, 13, 33, 34, 46, 58, 59, 63]] = True
 _INDEX_SCHEMA = "id long, pos int, wh long, slots array<long>, windows int"
-_HIT_SCHEMA = "id long, wh long, slots array<long>"
+_HIT_SCHEMA = "id long, text_hash long, doc_pos int, wh long, slots array<long>"
 
 
 def _hash_of(word: str) -> int:
@@ -173,6 +177,8 @@ def _scanner(widths: list[int], known) -> Callable:
                         rows = row + np.searchsorted(before, at, side="right") - 1
                         yield pa.record_batch({
                             "id": batch.column(0).take(pa.array(rows)).cast(pa.int64()),
+                            "text_hash": batch.column(2).take(pa.array(rows)),
+                            "doc_pos": pa.array((at - before[rows - row]).astype(np.int32)),
                             "wh": pa.array(wh.view(np.int64)), "slots": _slot_lists(value, slot, at, width)})
     return scan
 
@@ -192,11 +198,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         found = hashes.toPandas()["wh"].to_numpy(dtype=np.int64).view(np.uint64)
         known = spark.sparkContext.broadcast(np.sort(found))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
     hits = texts.mapInArrow(_scanner(_item_widths(items), known), _HIT_SCHEMA)
     side = index.select(F.col("id").alias("item_id"), "pos", "wh", F.col("slots").alias("own"), "windows")
     hits = hits.join(F.broadcast(side) if few else side, "wh")
-    hits = hits.select(F.col("id").alias("doc_id"), "item_id", "pos", "windows", "own", "slots")
-    return _judge(materialize(hits))
+    hits = hits.select(F.col("id").alias("doc_id"), "text_hash", "item_id", "doc_pos", "pos", "windows", "own", "slots")
+    return _judge(materialize(hits.dropDuplicates(["doc_id", "text_hash", "item_id", "doc_pos", "pos"])))
 
 
 def _item_widths(items: DataFrame) -> list[int]:
@@ -212,11 +219,27 @@ def _item_widths(items: DataFrame) -> list[int]:
     return sorted(r["w"] for r in found)
 
 
+def _occurrences(hits: DataFrame) -> DataFrame:
+    """Each hit once for every occurrence that it may belong to: ``kind`` and ``key`` name the occurrence."""
+    order = Window.partitionBy("doc_id", "text_hash", "item_id").orderBy("doc_pos", "pos")
+    again = (F.col("pos") < F.lag("pos").over(order)).cast("int")
+    hits = hits.withColumn("again", F.coalesce(again, F.lit(0))).withColumn("run", F.sum("again").over(order))
+
+    def named(kind, key):
+        return F.struct(F.lit(kind).alias("kind"), key.cast("long").alias("key"))
+
+    ways = F.array(named("alignment", F.col("doc_pos") - F.col("pos")), named("run", F.col("run")), named("all", F.lit(0)))
+    same = F.when(F.col("own") == F.col("slots"), F.array(named("same", F.lit(0)))).otherwise(F.array())
+    return hits.withColumn("way", F.explode(F.concat(ways, same))).select(
+        "doc_id", "text_hash", "item_id", "way.kind", "way.key", "pos", "windows", "own", "slots")
+
+
 def _judge(hits: DataFrame) -> DataFrame:
-    by = ["doc_id", "item_id"]
+    by = ["doc_id", "text_hash", "item_id", "kind", "key"]
+    hits = materialize(_occurrences(hits))
     windows = hits.groupBy(*by, "pos").agg(F.max("windows").alias("w")).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_windows"), F.max("w").alias("item_windows"))
-    # per value of the item: how often its most frequent counterpart in the document comes
+    # per value of the item: how often its most frequent counterpart in the occurrence comes
     pairs = hits.select(*by, F.explode(F.arrays_zip("own", "slots")).alias("z")).groupBy(
         *by, F.col("z.own").alias("own"), F.col("z.slots").alias("theirs")).agg(F.count(F.lit(1)).alias("n"))
     slots = pairs.groupBy(*by, "own").agg(F.max("n").alias("top"), F.sum("n").alias("n"),
@@ -224,13 +247,16 @@ def _judge(hits: DataFrame) -> DataFrame:
     slots = slots.groupBy(*by).agg((F.sum("top") / F.sum("n")).alias("slot_share"), F.max("other").alias("other"))
     # null ids match each other
     a, b = windows.alias("a"), slots.alias("b")
-    both = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by], "left")
-    coverage = F.col("n_windows") / F.col("item_windows")
-    return (both.select("a.doc_id", "a.item_id", "n_windows", F.col("item_windows").cast("long").alias("item_windows"),
-                        coverage.alias("coverage"), F.coalesce("slot_share", F.lit(1.0)).alias("slot_share"),
-                        (F.coalesce("other", F.lit(0)) > 0).alias("reparameterised"))
-            .filter((F.col("coverage") >= MIN_COVERAGE) | (F.col("n_windows") >= MIN_RUN))
-            .filter(F.col("slot_share") >= MIN_CONSISTENT))
+    both = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by], "left").select(
+        "a.doc_id", "a.item_id", "n_windows", F.col("item_windows").cast("long").alias("item_windows"),
+        (F.col("n_windows") / F.col("item_windows")).alias("coverage"),
+        F.coalesce("slot_share", F.lit(1.0)).alias("slot_share"), (F.coalesce("other", F.lit(0)) > 0).alias("other"))
+    leaks = both.filter((F.col("coverage") >= MIN_COVERAGE) | (F.col("n_windows") >= MIN_RUN)).filter(
+        F.col("slot_share") >= MIN_CONSISTENT)
+    best = F.max(F.struct("n_windows", "slot_share", (~F.col("other")).alias("same"), "item_windows", "coverage"))
+    return leaks.groupBy("doc_id", "item_id").agg(best.alias("m")).select(
+        "doc_id", "item_id", "m.n_windows", "m.item_windows", "m.coverage", "m.slot_share",
+        (~F.col("m.same")).alias("reparameterised"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

@@ -189,6 +189,23 @@ def test_leaks(spark, docs, rows):
     assert left == {r[0] for r in rows} | {102, 103}
 
 
+def test_leaks_with_several_occurrences(spark):
+    form = ("A train leaves {} at {} and travels {} km to {}. How many hours at {} kmh does the train need?")
+    one, two, three = (form.format(*v) for v in (("Paris", 10, 300, "Lyon", 100), ("Berlin", 14, 450, "Rome", 90),
+                                                 ("Oslo", 7, 620, "Bergen", 80)))
+    benchmark = spark.createDataFrame([(0, one), (1, two)], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (0, f"Sheet: {one} Next. {three}"), (1, f"well. {three} And now. {form.format('Kiel', 3, 55, 'Ulm', 40)}"),
+        (2, f"{one} {two}"), (3, f"x {one} {one} {two} {three} {three}"), (4, "A train leaves at noon, how many hours?"),
+        (None, f"s. {three}"), (None, f"t. {form.format('Kiel', 3, 55, 'Ulm', 40)}")], "doc_id long, text string")
+    for limit in (decontaminate.BROADCAST_WINDOWS, 0):
+        got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(docs, benchmark, broadcast_windows=limit).collect()}
+        assert set(got) == {(d, i) for d in (0, 1, 2, 3, None) for i in (0, 1)}
+        # an exact copy is reported as such, whatever stands beside it
+        assert {k for k, r in got.items() if not r["reparameterised"]} == {(0, 0), (2, 0), (2, 1), (3, 0), (3, 1)}
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(docs, benchmark).collect()] == [4]
+
+
 def test_secret_spans(docs, rows):
     assign = re.compile(r'''(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)''', re.I | re.A)
     paths, _, findings = secrets.scan_versions(docs)
