@@ -14,9 +14,17 @@ the item), those of one run (until the item starts again), those with the
 item's own values, and all windows of the document; one consistent occurrence
 is enough, and the one with most windows is reported.
 
+Beside the templates, literal windows (lower-cased tokens with their values, no
+placeholders) are joined: a verbatim run of ``VERBATIM`` tokens, or the whole of
+a shorter item, is a leak by itself, whatever share of the item it is and
+however few of its tokens are words.  For leaks found by them alone, the counts
+and the coverage are those of the literal windows.
+
 Cases: null or blank texts match nothing; items with fewer tokens than a window
-are one shorter window; items with fewer than ``MIN_LITERALS`` literal tokens in
-a window are not matched there (placeholders alone say nothing); repeated rows
+are one shorter window; template windows with fewer than ``MIN_LITERALS`` literal
+tokens are not matched (placeholders alone say nothing); an item of fewer than
+``MIN_VERBATIM`` tokens is matched only if it has no placeholder (a lone number
+or name is in any text); repeated rows
 count once, and different texts under one id are judged apart; empty tables give an empty result; a null id is reported as null;
 other columns are ignored.
 """
@@ -37,6 +45,8 @@ WIDTH = 8
 MIN_LITERALS = 4
 MIN_COVERAGE = 0.5
 MIN_RUN = 24
+VERBATIM = 13                 # tokens in a row that leak an item
+MIN_VERBATIM = 3
 MIN_CONSISTENT = 0.75
 # window hashes sent to every task (32 MB); a larger index is joined by a shuffle
 BROADCAST_WINDOWS = 4_000_000
@@ -54,7 +64,8 @@ _UPPER[65:91] = True
 _SMALL[97:123] = _SMALL[128:] = True
 _POINT[[44, 46]] = True
 _STOP[[10, 13, 33, 34, 46, 58, 59, 63]] = True
-_INDEX_SCHEMA = "id long, pos int, wh long, slots array<long>, windows int"
+_LITERAL = 1 << 32                     # starts the hash of a literal window
+_INDEX_SCHEMA = "id long, pos int, wh long, slots array<long>, windows int, literal boolean"
 _HIT_SCHEMA = "id long, text_hash long, doc_pos int, wh long, slots array<long>"
 
 
@@ -115,23 +126,28 @@ def template(data: np.ndarray, offsets: np.ndarray, powers: shingles.Powers
     return token, value, number | name | unit, before
 
 
-def _windows(token: np.ndarray, slot: np.ndarray, before: np.ndarray, width: int
-             ) -> tuple[np.ndarray, np.ndarray]:
+def _windows(token: np.ndarray, slot: np.ndarray, before: np.ndarray, width: int, kind: int = 0,
+             floor: int = MIN_LITERALS) -> tuple[np.ndarray, np.ndarray]:
     """(window hashes, their first token) of the windows with enough literal tokens."""
     n = len(token)
     if n < width:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     m = n - width + 1
-    whole = np.full(m, width, dtype=np.uint64)
+    whole = np.full(m, width + kind, dtype=np.uint64)
     for k in range(width):
         whole += token[k:k + m] * np.uint64(pow(shingles._P, k + 1, 1 << 64))
     slots = np.concatenate([[0], np.cumsum(slot)])
     row_end = np.repeat(before[1:], np.diff(before))[:m]
     at = np.flatnonzero((np.arange(m) + width <= row_end)
-                        & (width - (slots[width:] - slots[:m]) >= min(MIN_LITERALS, width)))
+                        & (width - (slots[width:] - slots[:m]) >= min(floor, width)))
     return shingles.mix(whole[at]), at
 
 
+def _literal_windows(value: np.ndarray, before: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of the tokens themselves; their hashes never equal those of templates by construction."""
+    return _windows(value, np.zeros(len(value), dtype=bool), before, width, _LITERAL, 0)
+
+
 def _slot_lists(value: np.ndarray, slot: np.ndarray, at: np.ndarray, width: int) -> pa.Array:
     """The placeholder values of each window, in order."""
     places = at[:, None] + np.arange(width)[None, :]
@@ -142,6 +158,10 @@ def _slot_lists(value: np.ndarray, slot: np.ndarray, at: np.ndarray, width: int)
                                     pa.array(flat.view(np.int64)))
 
 
+def _no_slots(n: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, dtype=np.int32)), pa.array([], pa.int64()))
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Benchmark windows: id, pos, wh, slots, windows (of the item)."""
     powers = shingles.Powers()
@@ -150,26 +170,35 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(end - row):
                 own = data[offsets[r]:offsets[r + 1]]
                 token, value, slot, before = template(own, np.array([0, len(own)]), powers)
-                width = min(WIDTH, len(token))
-                if not width:
+                if not len(token):
                     continue
+                width = min(WIDTH, len(token))
                 wh, at = _windows(token, slot, before, width)
-                yield pa.record_batch({
-                    "id": pa.array([batch.column(0)[row + r].as_py()] * len(wh), pa.int64()),
-                    "pos": pa.array(at.astype(np.int32)), "wh": pa.array(wh.view(np.int64)),
-                    "slots": _slot_lists(value, slot, at, width),
-                    "windows": pa.array(np.full(len(wh), len(wh), dtype=np.int32))})
+                found = [(wh, at, _slot_lists(value, slot, at, width), False)]
+                if len(token) >= MIN_VERBATIM:
+                    wh, at = _literal_windows(value, before, min(VERBATIM, len(token)))
+                    found.append((wh, at, _no_slots(len(wh)), True))
+                for wh, at, slots, literal in found:
+                    yield pa.record_batch({
+                        "id": pa.array([batch.column(0)[row + r].as_py()] * len(wh), pa.int64()),
+                        "pos": pa.array(at.astype(np.int32)), "wh": pa.array(wh.view(np.int64)), "slots": slots,
+                        "windows": pa.array(np.full(len(wh), len(wh), dtype=np.int32)),
+                        "literal": pa.array(np.full(len(wh), literal))})
 
 
 def _scanner(widths: list[int], known) -> Callable:
     """Windows of documents; with ``known`` (a broadcast sorted array) only those in it."""
+    kinds = [(w, False) for w in sorted({min(w, WIDTH) for w in widths})]
+    kinds += [(w, True) for w in widths if w >= MIN_VERBATIM]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, ordered = shingles.Powers(), None if known is None else known.value
         for batch in batches:
             for row, _, data, offsets in shingles.slices(batch.column(1)):
                 token, value, slot, before = template(data, offsets, powers)
-                for width in widths:
-                    wh, at = _windows(token, slot, before, width)
+                for width, literal in kinds:
+                    wh, at = (_literal_windows(value, before, width) if literal
+                              else _windows(token, slot, before, width))
                     if ordered is not None:
                         hit = np.flatnonzero(_among(wh, ordered))
                         wh, at = wh[hit], at[hit]
@@ -179,7 +208,7 @@ def _scanner(widths: list[int], known) -> Callable:
                             "id": batch.column(0).take(pa.array(rows)).cast(pa.int64()),
                             "text_hash": batch.column(2).take(pa.array(rows)),
                             "doc_pos": pa.array((at - before[rows - row]).astype(np.int32)),
-                            "wh": pa.array(wh.view(np.int64)), "slots": _slot_lists(value, slot, at, width)})
+                            "wh": pa.array(wh.view(np.int64)), "slots": _no_slots(len(wh)) if literal else _slot_lists(value, slot, at, width)})
     return scan
 
 
@@ -200,20 +229,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     hits = texts.mapInArrow(_scanner(_item_widths(items), known), _HIT_SCHEMA)
-    side = index.select(F.col("id").alias("item_id"), "pos", "wh", F.col("slots").alias("own"), "windows")
+    side = index.select(F.col("id").alias("item_id"), "pos", "wh", F.col("slots").alias("own"), "windows", "literal")
     hits = hits.join(F.broadcast(side) if few else side, "wh")
-    hits = hits.select(F.col("id").alias("doc_id"), "text_hash", "item_id", "doc_pos", "pos", "windows", "own", "slots")
-    return _judge(materialize(hits.dropDuplicates(["doc_id", "text_hash", "item_id", "doc_pos", "pos"])))
+    hits = hits.select(F.col("id").alias("doc_id"), "text_hash", "item_id", "doc_pos", "pos", "windows", "literal",
+                       "own", "slots")
+    return _judge(materialize(hits.dropDuplicates(["doc_id", "text_hash", "item_id", "doc_pos", "pos", "literal"])))
 
 
 def _item_widths(items: DataFrame) -> list[int]:
-    """The window widths in use: at most WIDTH values."""
+    """The lengths of the items up to VERBATIM, which all window widths in use follow from."""
     def width(batches):
         powers = shingles.Powers()
         for batch in batches:
             for _, _, data, offsets in shingles.slices(batch.column(0)):
                 n = np.diff(template(data, offsets, powers)[3])
-                yield pa.record_batch({"w": pa.array(np.unique(np.minimum(n, WIDTH)).astype(np.int32))})
+                yield pa.record_batch({"w": pa.array(np.unique(np.minimum(n, VERBATIM)).astype(np.int32))})
 
     found = items.select("text").mapInArrow(width, "w int").distinct().filter("w > 0").collect()
     return sorted(r["w"] for r in found)
@@ -236,7 +266,13 @@ def _occurrences(hits: DataFrame) -> DataFrame:
 
 def _judge(hits: DataFrame) -> DataFrame:
     by = ["doc_id", "text_hash", "item_id", "kind", "key"]
-    hits = materialize(_occurrences(hits))
+    literal = hits.filter("literal").groupBy("doc_id", "text_hash", "item_id", "pos").agg(
+        F.max("windows").alias("w")).groupBy("doc_id", "text_hash", "item_id").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.max("w").cast("long").alias("item_windows")).select(
+        "doc_id", "item_id", F.lit(0).alias("template"), "n_windows", "item_windows",
+        (F.col("n_windows") / F.col("item_windows")).alias("coverage"), F.lit(1.0).alias("slot_share"),
+        F.lit(False).alias("other"))
+    hits = materialize(_occurrences(hits.filter("not literal")))
     windows = hits.groupBy(*by, "pos").agg(F.max("windows").alias("w")).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_windows"), F.max("w").alias("item_windows"))
     # per value of the item: how often its most frequent counterpart in the occurrence comes
@@ -253,7 +289,8 @@ def _judge(hits: DataFrame) -> DataFrame:
         F.coalesce("slot_share", F.lit(1.0)).alias("slot_share"), (F.coalesce("other", F.lit(0)) > 0).alias("other"))
     leaks = both.filter((F.col("coverage") >= MIN_COVERAGE) | (F.col("n_windows") >= MIN_RUN)).filter(
         F.col("slot_share") >= MIN_CONSISTENT)
-    best = F.max(F.struct("n_windows", "slot_share", (~F.col("other")).alias("same"), "item_windows", "coverage"))
+    leaks = leaks.withColumn("template", F.lit(1)).unionByName(literal)
+    best = F.max(F.struct("template", "n_windows", "slot_share", (~F.col("other")).alias("same"), "item_windows", "coverage"))
     return leaks.groupBy("doc_id", "item_id").agg(best.alias("m")).select(
         "doc_id", "item_id", "m.n_windows", "m.item_windows", "m.coverage", "m.slot_share",
         (~F.col("m.same")).alias("reparameterised"))

@@ -206,6 +206,21 @@ def test_leaks_with_several_occurrences(spark):
     assert [r["doc_id"] for r in decontaminate.drop_leaks(docs, benchmark).collect()] == [4]
 
 
+def test_verbatim_leaks(spark):
+    long = " ".join(f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(59))
+    items = [(0, "What is 3 plus 5?"), (1, "Solve 3 x + 5 = 17"), (2, long), (3, "42")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    part = long.split(" ")
+    docs = spark.createDataFrame([
+        (0, f"Quiz. {items[0][1]} Answer: 8"), (1, f"First, {items[1][1]}, then 42"), (2, f"so {' '.join(part[10:40])} end"),
+        (3, f"so {' '.join(part[20:33])} end"), (4, f"so {' '.join(part[20:32])} end"), (5, "What is 4 plus 5? 42"),
+        (6, "Solve 3 x + 5 = 18")], "doc_id long, text string")
+    for limit in (decontaminate.BROADCAST_WINDOWS, 0):
+        got = decontaminate.find_leaks(docs, benchmark, broadcast_windows=limit).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1), (2, 2), (3, 2)}
+        assert not any(r["reparameterised"] for r in got)
+
+
 def test_secret_spans(docs, rows):
     assign = re.compile(r'''(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)''', re.I | re.A)
     paths, _, findings = secrets.scan_versions(docs)
