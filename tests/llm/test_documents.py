@@ -344,6 +344,26 @@ def test_schedule_is_even(spark):
         assert all(abs((b + 1) - (hi - lo) * (s + 1)) < 12 for b, s in own)
 
 
+def test_mix_is_made_of_scheduled_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(["w"] * (1 + 37 * k % 300)), f"s{k % 5}") for k in range(60)]
+                                 + [(60, "one", "tiny"), (61, None, "s1")], "doc_id long, text string, source string")
+    got = mixing.mix(docs, block_words=16).collect()
+    blocks = collections.defaultdict(set)
+    for r in got:
+        assert (r["taken"] > 0) == bool(r["slots"]) and None not in r["slots"]
+        # every block of every pass has its slot, in both passes
+        assert 16 * len(r["slots"]) >= r["taken"] and r["slot"] == (r["slots"][0] if r["slots"] else None)
+        blocks["tiny" if r["doc_id"] == 60 else r["doc_id"] % 5, r["target"]].update(r["slots"])
+    for (_, target), slots in blocks.items():
+        assert len(slots) == -(-target // 16)
+    assert sum(map(len, blocks.values())) == len(set().union(*blocks.values()))
+    # without blocks in the schedule, nothing is taken
+    whole = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda *a: whole(*a).filter("source != 's1'"))
+    assert {r["doc_id"] % 5 for r in mixing.mix(docs, block_words=16).collect() if r["taken"] == 0} == {1}
+    assert all(r["doc_id"] % 5 != 1 for r in mixing.mixed_rows(docs).collect())
+
+
 def test_licenses(spark, docs):
     mit = licenses.TEMPLATES[3][1]
     more = spark.createDataFrame([(200, "Some prose.\n" + mit + "\n\nMore prose"), (201, "x\nreleased UNDER the mit license!"),
