@@ -66,6 +66,27 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("all-rights-reserved", "All rights reserved."),
+    # the lesser and Affero notices differ from the general ones in few words; the closest template names the licence
+    ("LGPL-2.0", "This work is licensed under the GNU Library General Public License, version 2."),
+    ("LGPL-2.0", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+     Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at
+     your option) any later version."""),
+    ("LGPL-2.1", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+     Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or
+     (at your option) any later version."""),
+    ("LGPL-2.1", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU
+     Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or
+     (at your option) any later version."""),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+     Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
+     your option) any later version."""),
+    ("LGPL-3.0", """This library is free software: you can redistribute it and/or modify it under the terms of the GNU
+     Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
+     your option) any later version."""),
+    ("AGPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+     Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
+     your option) any later version."""),
 )
 
 

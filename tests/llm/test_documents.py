@@ -373,6 +373,19 @@ def test_licenses(spark, docs):
     assert got == {(200, "MIT"), (201, "MIT"), (204, "CC-BY-NC-4.0")}
 
 
+def test_license_families(spark):
+    notice = ("{} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public "
+              "License as published by the Free Software Foundation{} either version {} of the License, or (at your option) "
+              "any later version.")
+    cases = [("AGPL-3.0", ("This program", ":", "Affero ", ",", "3")), ("LGPL-3.0", ("This program", ":", "Lesser ", ",", "3")),
+             ("LGPL-2.1", ("This library", ";", "Lesser ", ";", "2.1")), ("LGPL-2.0", ("This library", ";", "Library ", ";", "2")),
+             ("GPL-3.0", ("This program", ":", "", ",", "3")), ("GPL-2.0", ("This program", ";", "", ";", "2"))]
+    texts = [(k, notice.format(*words)) for k, (_, words) in enumerate(cases)]
+    texts.append((6, "This work is licensed under the GNU Lesser General Public License, version 3."))
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {(k, name) for k, (name, _) in enumerate(cases)} | {(6, "LGPL-3.0")}
+
+
 def test_language(docs, rows):
     got = {r["doc_id"]: r for r in langid.identify(docs, docs.filter(~langid.held_out(F.col("doc_id")))).collect()}
     lang = {r[0]: r[2] for r in rows}
