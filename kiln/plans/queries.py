@@ -331,10 +331,6 @@ def stream_triage(spark, sf_dir):
 
 # --- oversampling and models ----------------------------------------------------
 
-# Boosting rounds (per class) of the registered training queries; the reference's count, ml.BOOST_ITER, would be
-# some thousand sequential jobs.  The results carry the count.
-BENCH_BOOST_ROUNDS = 2
-
 def _failure_train(c: Ctx) -> DataFrame:
     # read by several scalar subqueries, the k-NN graph and the ranking: persist once
     data = ml.failure_dataset(c.sensor)
@@ -350,13 +346,13 @@ def smote(spark, sf_dir):
 
 @register
 def train_failure_model(spark, sf_dir):
-    return ml.train_failure_model(Ctx(spark, sf_dir).sensor, boost_iter=BENCH_BOOST_ROUNDS).results
+    return ml.train_failure_model(Ctx(spark, sf_dir).sensor).results
 
 
 @register
 def score_failures(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    trained = ml.train_failure_model(c.sensor, boost_iter=BENCH_BOOST_ROUNDS)
+    trained = ml.train_failure_model(c.sensor)
     return ml.score_failures(trained.model, ml.failure_dataset(c.sensor)).select(
         "record_id", "failure_type", "split", "predicted_failure", "top_classes")
 

@@ -1,11 +1,14 @@
 """Model training: beats the majority class, persists and reloads identically."""
 
+import inspect
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from kiln.operators import ml
 from kiln.operators.sensors import FEATURES
+from kiln.plans import queries
 from kiln.plans.context import Ctx
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +53,23 @@ def test_complaint_classifier_distribution(spark):
         probs = {kv.split("=")[0]: float(kv.split("=")[1]) for kv in r.distribution.split(", ")}
         assert len(probs) == 4 and abs(sum(probs.values()) - 1) < 2e-3
         assert abs(max(probs.values()) - r.confidence) < 1e-3 and probs[r.predicted_label] == max(probs.values())
+
+
+def test_registered_training_uses_all_rounds(spark, monkeypatch):
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def rounds(*args, **kwargs):
+        call = inspect.signature(train).bind(*args, **kwargs)
+        call.apply_defaults()
+        seen.append(call.arguments["boost_iter"])
+        raise Stop
+
+    train = ml.train_failure_model
+    monkeypatch.setattr(ml, "train_failure_model", rounds)
+    for name in ("train_failure_model", "score_failures"):
+        with pytest.raises(Stop):
+            queries.QUERIES[name](spark, SF)
+    assert seen == [ml.BOOST_ITER] * 2 == [200, 200]
