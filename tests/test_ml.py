@@ -73,3 +73,8 @@ def test_registered_training_uses_all_rounds(spark, monkeypatch):
         with pytest.raises(Stop):
             queries.QUERIES[name](spark, SF)
     assert seen == [ml.BOOST_ITER] * 2 == [200, 200]
+
+
+def test_classifier_hash_buckets():
+    default = inspect.signature(ml.train_complaint_classifier).parameters["buckets"].default
+    assert default == ml.TEXT_BUCKETS >= 1 << 18
