@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.llm import chat, decontaminate, langid, licenses, mixing, neardup, pseudonyms, quality, secrets, sharding
+from kiln.llm import (chat, decontaminate, langid, licenses, manifest, mixing, neardup, pseudonyms, quality, secrets,
+                      sharding)
 from kiln.llm.common import read_documents, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +73,8 @@ def op9_minmax_neardup(spark, sf_dir):
 @register
 def op10_golden_ratio_mix(spark, sf_dir):
     return mixing.mix(read_documents(spark, sf_dir))
+
+
+@register
+def op11_octopus_manifest(spark, sf_dir):
+    return manifest.report(read_documents(spark, sf_dir))
