@@ -154,3 +154,76 @@ reach AS (
   SELECT id, b FROM reach JOIN links ON a = other)
 SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
 FROM d JOIN reach ON id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+# the checksum of the decimal id, bit by bit; trees as rows (level, index), eight children to a node
+ORACLES["op11_octopus_manifest"] = """
+WITH RECURSIVE
+src AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS k, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: ord(s)::BIGINT)),
+           lambda c, b: list_reduce([xor(c, b), 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT],
+             lambda x, y: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) AS crc
+  FROM documents),
+digests AS (
+  SELECT doc_id, k, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS altered FROM src),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM digests),
+nodes AS (
+  SELECT k, 0 AS lvl, pos AS idx, leaf AS h, n AS width FROM leaves
+  UNION ALL
+  SELECT k, lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (any_value(width) + 7) // 8
+  FROM nodes WHERE width > 1 GROUP BY k, lvl, idx // 8),
+floor AS (
+  SELECT k, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS g, count(*) OVER () AS n FROM nodes WHERE width = 1),
+upper AS (
+  SELECT 0 AS lvl, g AS idx, subroot AS h, n AS width FROM floor
+  UNION ALL
+  SELECT lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (any_value(width) + 7) // 8
+  FROM upper WHERE width > 1 GROUP BY lvl, idx // 8),
+low_steps AS (
+  SELECT l.k, l.pos, n.lvl, coalesce(string_agg(n.h, '' ORDER BY n.idx) FILTER (n.idx < l.pos // CAST(power(8, n.lvl) AS BIGINT)), '') AS a,
+         coalesce(string_agg(n.h, '' ORDER BY n.idx) FILTER (n.idx > l.pos // CAST(power(8, n.lvl) AS BIGINT)), '') AS b
+  FROM leaves l JOIN nodes n ON n.k = l.k AND n.width > 1 AND n.idx // 8 = l.pos // CAST(power(8, n.lvl + 1) AS BIGINT)
+  GROUP BY l.k, l.pos, n.lvl),
+high_steps AS (
+  SELECT f.k, n.lvl, coalesce(string_agg(n.h, '' ORDER BY n.idx) FILTER (n.idx < f.g // CAST(power(8, n.lvl) AS BIGINT)), '') AS a,
+         coalesce(string_agg(n.h, '' ORDER BY n.idx) FILTER (n.idx > f.g // CAST(power(8, n.lvl) AS BIGINT)), '') AS b
+  FROM floor f JOIN upper n ON n.width > 1 AND n.idx // 8 = f.g // CAST(power(8, n.lvl + 1) AS BIGINT)
+  GROUP BY f.k, n.lvl),
+ways AS (
+  SELECT k, pos, string_agg(a || b, '' ORDER BY part, lvl) AS proof, list(a || '|' || b ORDER BY part, lvl) AS steps
+  FROM (SELECT k, pos, 0 AS part, lvl, a, b FROM low_steps
+        UNION ALL SELECT l.k, l.pos, 1, h.lvl, h.a, h.b FROM leaves l JOIN high_steps h USING (k)) GROUP BY k, pos),
+proofs AS (
+  SELECT l.doc_id, l.leaf, f.subroot, (SELECT h FROM upper WHERE width = 1) AS root, sha256(coalesce(w.proof, '')) AS proof_sha256,
+         list_reduce(list_concat([coalesce(l.altered, l.leaf)], coalesce(w.steps, [])),
+                     lambda x, s: sha256(split_part(s, '|', 1) || x || split_part(s, '|', 2))) AS folded_root
+  FROM leaves l JOIN floor f USING (k) LEFT JOIN ways w ON w.k = l.k AND w.pos = l.pos)
+SELECT *, folded_root = root AS verified FROM proofs
+"""
+
+_TERMS = ("regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+ORACLES["op13_stratified_search"] = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id, t, len(t) AS n FROM (SELECT doc_id, {_TERMS} AS t FROM documents) WHERE len(t) > 0),
+stats AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM docs),
+tf AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(t) AS term FROM docs) GROUP BY ALL),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), stats),
+norm AS (SELECT d, doc_id, 75 + (25 * n * docs) // terms AS m FROM docs, stats),
+items AS (
+  SELECT q, item_id, term, count(*) AS times
+  FROM (SELECT q, item_id, unnest(t) AS term
+        FROM (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS t FROM (SELECT DISTINCT item_id, text FROM benchmark))) GROUP BY ALL),
+scores AS (
+  SELECT q, item_id, d, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM items JOIN tf USING (term) JOIN weight USING (term) JOIN norm USING (d) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.llm import (chat, decontaminate, langid, licenses, manifest, mixing, neardup, pseudonyms, quality, secrets,
-                      sharding)
+from kiln.llm import (chat, decontaminate, langid, lexical, licenses, linecrf, manifest, mixing, neardup, pseudonyms,
+                      quality, secrets, sharding)
 from kiln.llm.common import read_documents, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,18 @@ def op10_golden_ratio_mix(spark, sf_dir):
 @register
 def op11_octopus_manifest(spark, sf_dir):
     return manifest.report(read_documents(spark, sf_dir))
+
+
+@register
+def op12_line_crf(spark, sf_dir):
+    docs = read_documents(spark, sf_dir)
+    own = ~linecrf.held_out(F.col("doc_id"))
+    field = linecrf.train(docs.filter(own), read_table(spark, sf_dir, "labels").filter(own))
+    return linecrf.score(docs, field).select(
+        "doc_id", linecrf.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= linecrf.ACCEPT).cast("int").alias("predicted"))
+
+
+@register
+def op13_stratified_search(spark, sf_dir):
+    return lexical.rank(read_table(spark, sf_dir, "benchmark"), read_documents(spark, sf_dir))
