@@ -500,6 +500,11 @@ SELECT CAST(date_trunc('week', tanggal) AS DATE) AS minggu, CAST(sum({RATE_CASE}
        count(*) AS n_tickets
 FROM v_tickets GROUP BY 1""", "v_tickets")
 
+# weeks that end at or before the newest event less 30 days
+ORACLES["stream_closed_weeks"] = with_views(WEEKLY_BODY + """,
+newest AS (SELECT max(t) AS t FROM (SELECT max(CAST(tanggal AS TIMESTAMP)) AS t FROM v_cases UNION ALL SELECT max(CAST(tanggal AS TIMESTAMP)) FROM v_tickets))
+SELECT weekly.* FROM weekly, newest WHERE CAST(minggu AS TIMESTAMP) + INTERVAL 7 DAYS <= t - INTERVAL 30 DAYS""", "v_cases", "v_tickets", "v_vendors")
+ORACLES["stream_tools_by_role"] = ORACLES["tool_usage_by_role"]
 ORACLES["stream_tool_usage"] = with_views("""
 SELECT DISTINCT run_id, coalesce(nullif(agent_role, ''), 'unknown') AS agent_role, tool_name FROM v_tool_log""", "v_tool_log")
 
@@ -533,6 +538,37 @@ SELECT label, n AS n_original, (SELECT max(n) FROM tr) - n AS n_synthetic, (SELE
        CAST(1 AS INTEGER) AS within_bounds
 FROM tr""", "v_sensor")
 
+# in-class neighbours by all pairs; the choices of base point, neighbour and gap from the same MD5 texts
+FEATURE_NAMES = ["air_temperature_k", "process_temperature_k", "rotational_speed_rpm", "torque_nm", "tool_wear_min"]
+_SQUARES = " + ".join(f"power(CAST(a.{c} AS DOUBLE) - CAST(b.{c} AS DOUBLE), 2)" for c in FEATURE_NAMES)
+_POINTS = (LABELLED + "," + split_sql("SELECT record_id AS k, failure_type AS label FROM labelled") + f""",
+pts AS (SELECT s.k, s.label, {", ".join(FEATURE_NAMES)} FROM splitted s JOIN v_sensor v ON v.record_id = s.k WHERE split = 'train'),
+nb AS (
+  SELECT a.k, a.label, b.k AS nb_key,
+         CAST(row_number() OVER (PARTITION BY a.k ORDER BY round({_SQUARES}, 9), b.k) AS INTEGER) AS nb_rank
+  FROM pts a JOIN pts b ON a.label = b.label AND a.k <> b.k QUALIFY nb_rank <= 5)""")
+ORACLES["smote_neighbours"] = with_views(_POINTS + "\nSELECT k AS record_id, nb_rank, nb_key FROM nb", "v_sensor")
+_DRAW = "CAST(concat('0x', substr(md5(concat_ws(':', '42', k, CAST(s AS VARCHAR){0})), 1, 8)) AS BIGINT)"
+_BETWEEN = ", ".join(
+    f"round(CASE WHEN nb_key IS NULL THEN CAST(p.{c} AS DOUBLE) ELSE CAST(p.{c} AS DOUBLE) + u * (CAST(q.{c} AS DOUBLE) - CAST(p.{c} AS DOUBLE)) END, 8)"
+    f" AS {c}" for c in FEATURE_NAMES)
+ORACLES["smote_samples"] = with_views(_POINTS + f""",
+cls AS (SELECT label, count(*) AS n FROM pts GROUP BY label),
+lim AS (SELECT max(n) AS target, greatest(1, least(5, min(n) - 1)) AS k_eff FROM cls),
+base AS (
+  SELECT k, label, n, target - n AS need, k_eff, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', k))) - 1 AS r
+  FROM pts JOIN cls USING (label), lim),
+drawn AS (
+  SELECT *, unnest(range(need // n + CASE WHEN r < need % n THEN 1 ELSE 0 END)) AS s FROM base),
+chosen AS (
+  SELECT k, label, s, CASE WHEN least(k_eff, n - 1) >= 1 THEN {_DRAW.format('')} % least(k_eff, n - 1) + 1 END AS nb_rank,
+         CAST({_DRAW.format(", 'u'")} % 1000000 AS DOUBLE) / 1000000 AS u FROM drawn),
+synth AS (
+  SELECT concat(c.k, '#s', CAST(c.s AS VARCHAR)) AS sample_id, c.label, CAST(1 AS INTEGER) AS is_synthetic, nb_key, {_BETWEEN}
+  FROM chosen c JOIN pts p ON p.k = c.k LEFT JOIN nb ON nb.k = c.k AND nb.nb_rank = c.nb_rank LEFT JOIN pts q ON q.k = nb_key)
+SELECT * FROM synth UNION ALL
+SELECT k, label, CAST(0 AS INTEGER), NULL, {", ".join(f"round(CAST({c} AS DOUBLE), 8)" for c in FEATURE_NAMES)} FROM pts""", "v_sensor")
+
 # --- composites and helpers -----------------------------------------------------------
 
 ORACLES["class_floor"] = with_views(LABELLED + "," + split_sql("SELECT record_id AS k, failure_type AS label FROM labelled") + """,

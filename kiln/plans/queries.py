@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.operators import answers, dense, lookup, metrics, ml, reports, retrieval, sensors, split, textprep, tfidf
 from kiln.operators import smote as smote_ops
 from kiln.operators import triage as triage_ops
+from kiln.operators.staging import materialize
 from kiln.plans.context import Ctx
 from kiln.sources import io
 from kiln.streaming import streams
@@ -103,7 +103,7 @@ def _triaged(c: Ctx) -> DataFrame:
 
 def _triaged_once(c: Ctx) -> DataFrame:
     # read by several branches (ID lookups, the anti-joined rest, plans): triage once
-    return _triaged(c).persist(StorageLevel.MEMORY_AND_DISK)
+    return materialize(_triaged(c))
 
 
 @register
@@ -213,7 +213,7 @@ def tfidf_search(spark, sf_dir):
 
 
 def _sop_hits(c: Ctx, k: int) -> DataFrame:
-    chunks = _chunks(c).persist()      # indexed, and joined to the hits
+    chunks = materialize(_chunks(c))      # indexed, and joined to the hits
     return retrieval.sop_search(retrieval.sop_index(chunks).cache(), chunks, _conversation_queries(c), k, CONV_KEYS, "query")
 
 
@@ -237,7 +237,7 @@ def citation_coverage(spark, sf_dir):
 
 def _hybrid(c: Ctx) -> DataFrame:
     # read by the index build several times (counts, ids, size)
-    history = _case_history(c).persist(StorageLevel.MEMORY_AND_DISK)
+    history = materialize(_case_history(c))
     index = tfidf.fit_index(history, "doc_id", "text").cache()
     return retrieval.hybrid_search(_triaged_once(c), index, c.tickets, c.cases, _labelled_sensors(c), 3)
 
@@ -304,16 +304,46 @@ def running_context(spark, sf_dir):
 
 # --- streaming (driven to completion, result read back from the sink) ------------
 
+def _weekly_stream(c: Ctx, run: streams.StreamRun) -> DataFrame:
+    # cases are an aggregate of order lines, so they become a stream by way of files
+    source = f"{run.output}-cases"
+    c.cases.select("case_id", "tanggal", "biaya_perbaikan_idr").write.parquet(source)
+    cases = c.spark.readStream.schema(c.spark.read.parquet(source).schema).parquet(source)
+    return streams.stream_weekly_cost(cases, streams.stream_view(c.spark, c.sf_dir, "v_tickets"))
+
+
 @register
 def stream_weekly_cost(spark, sf_dir):
-    s = streams.stream_weekly_cost(streams.stream_view(spark, sf_dir, "v_tickets"))
-    return streams.run_complete(s, streams.new_run(spark, "weekly_cost"))
+    run = streams.new_run(spark, "weekly_cost")
+    weeks = streams.run_batches(_weekly_stream(Ctx(spark, sf_dir), run), run, "update")
+    return streams.latest(weeks, ["minggu"]).filter("n_tickets > 0").select("minggu", "biaya_kompensasi_cs_idr", "n_tickets")
+
+
+@register
+def stream_closed_weeks(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    run = streams.new_run(spark, "closed_weeks")
+    weeks = streams.run_batches(_weekly_stream(c, run), run, "append",
+                                lambda batch: streams.with_pending_vendors(batch, c.vendors))
+    return weeks.drop("batch")
+
+
+def _tool_stream(spark, sf_dir, name: str) -> DataFrame:
+    run = streams.new_run(spark, name)
+    s = streams.stream_tools_by_role(streams.stream_view(spark, sf_dir, "v_tool_log"))
+    return streams.latest(streams.run_batches(s, run, "update"), ["run_id", "agent_role"])
 
 
 @register
 def stream_tool_usage(spark, sf_dir):
-    s = streams.stream_tool_usage(streams.stream_view(spark, sf_dir, "v_tool_log"))
-    return streams.run_append(s, streams.new_run(spark, "tool_usage"))
+    u = _tool_stream(spark, sf_dir, "tool_usage")
+    return u.select("run_id", "agent_role", F.explode("tools").alias("tool_name"))
+
+
+@register
+def stream_tools_by_role(spark, sf_dir):
+    u = _tool_stream(spark, sf_dir, "tools_by_role")
+    return u.select("run_id", "agent_role", "first_seq", F.array_join("tools", ", ").alias("tools"))
 
 
 @register
@@ -323,6 +353,16 @@ def stream_label_and_score(spark, sf_dir):
     return streams.run_append(s, streams.new_run(spark, "label_and_score"))
 
 
+@register
+def stream_score_failures(spark, sf_dir):
+    run = streams.new_run(spark, "score_failures")
+    ml.save_model(ml.train_forest(Ctx(spark, sf_dir).sensor), f"{run.output}-model")
+    model = ml.load_model(f"{run.output}-model")
+    s = streams.stream_label_and_score(streams.stream_view(spark, sf_dir, "v_sensor"), model).select(
+        "record_id", "failure_type", "predicted_failure", "top_classes")
+    return streams.run_batches(s, run).drop("batch")
+
+
 @register
 def stream_triage(spark, sf_dir):
     s = streams.stream_triage(streams.stream_view(spark, sf_dir, "v_queries"))
@@ -332,9 +372,9 @@ def stream_triage(spark, sf_dir):
 # --- oversampling and models ----------------------------------------------------
 
 def _failure_train(c: Ctx) -> DataFrame:
-    # read by several scalar subqueries, the k-NN graph and the ranking: persist once
+    # read by several scalar subqueries, the k-NN graph and the ranking
     data = ml.failure_dataset(c.sensor)
-    return data.filter(F.col("split") == "train").persist()
+    return materialize(data.filter(F.col("split") == "train"))
 
 
 @register
@@ -344,6 +384,21 @@ def smote(spark, sf_dir):
     return smote_ops.smote_summary(resampled, "failure_type")
 
 
+@register
+def smote_neighbours(spark, sf_dir):
+    train = _failure_train(Ctx(spark, sf_dir))
+    x = F.array(*[F.col(c).cast("double") for c in sensors.FEATURES])
+    points = train.select("record_id", "failure_type", x.alias("_x")).withColumn("_sq", dense.squared_norm(F.col("_x")))
+    return smote_ops.neighbour_graph(points, "record_id", "failure_type", smote_ops.MAX_NEIGHBOURS, len(sensors.FEATURES))
+
+
+@register
+def smote_samples(spark, sf_dir):
+    out = smote_ops.smote(_failure_train(Ctx(spark, sf_dir)), "record_id", "failure_type", sensors.FEATURES)
+    return out.select("sample_id", F.col("failure_type").alias("label"), "is_synthetic", "nb_key",
+                      *[F.round(F.col("features")[i], 8).alias(c) for i, c in enumerate(sensors.FEATURES)])
+
+
 @register
 def train_failure_model(spark, sf_dir):
     return ml.train_failure_model(Ctx(spark, sf_dir).sensor).results
@@ -371,7 +426,7 @@ def classify_complaints(spark, sf_dir):
 def answer_facts(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     tri = _triaged_once(c)
-    chunks = _chunks(c).persist()      # indexed, and joined to the hits
+    chunks = materialize(_chunks(c))      # indexed, and joined to the hits
     # policies are looked up for questions that the plan gives to customer service
     asked = tri.filter(F.array_contains("plan", "cs"))
     sop_hits = retrieval.sop_search(retrieval.sop_index(chunks).cache(), chunks, asked, 1, ("query_id",), "query")
@@ -386,7 +441,7 @@ def evaluate_all(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     conv = _conversation_queries(c)
     # one top-2 search serves both: top-1 is its first rank
-    top2 = _sop_hits(c, 2).persist(StorageLevel.MEMORY_AND_DISK)
+    top2 = materialize(_sop_hits(c, 2))
     frames = {
         "accuracy": metrics.classification_scores(_rule_predictions(c)),
         "explainability": retrieval.citation_coverage(

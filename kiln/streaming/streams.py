@@ -2,28 +2,38 @@
 
 Sources are file streams over parquet (a glob path: a plain file path is not
 a valid stream source).  Event time is cast to TIMESTAMP because watermarks
-reject TIMESTAMP_NTZ.  Sinks are parquet folders; every run gets a fresh
-checkpoint and output folder under the session's checkpoint directory (the
-shared folder named by ``spark.checkpoint.dir`` on a cluster), so a restarted
-driver resumes from its checkpoint and a lost executor only replays its
-micro-batch.
-
-``run_*`` helpers drive a stream to completion with ``availableNow`` and
-return a batch DataFrame reading the sink -- that is how the registered
-queries and tests compare streams with their batch equivalents.
+reject TIMESTAMP_NTZ.  State is bounded: every stateful operator forgets what
+lies behind its watermark.
+
+A run has a checkpoint and an output folder under the session's checkpoint
+directory (the shared folder named by ``spark.checkpoint.dir`` on a cluster).
+``new_run`` with a ``run_id`` always gives the same folders, so that a restarted
+driver resumes where its checkpoint ends; without one every run is a new one.
+
+Sinks: ``run_append`` writes rows once they are final (Spark's parquet sink);
+``run_batches`` writes each micro-batch to a folder of its own, named after its
+number: a batch that is replayed after a failure replaces its own folder and
+writes nothing twice.  ``latest`` then keeps the newest version of each key.
+
+``run_*`` drive a stream to completion with ``availableNow`` and return a batch
+DataFrame reading the sink -- that is how the registered queries and tests
+compare streams with their batch equivalents.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kiln.functions.text import fixed_map
-from kiln.operators import reports, sensors
+from kiln.operators import ml, reports, sensors
 from kiln.operators import triage as triage_ops
 from kiln.session import ensure_checkpoint_dir
 from kiln.sources.tables import table_path
@@ -35,8 +45,10 @@ class StreamRun:
     output: str
 
 
-def new_run(spark: SparkSession, name: str) -> StreamRun:
-    base = os.path.join(ensure_checkpoint_dir(spark), "kiln-streams", f"{name}-{uuid.uuid4().hex[:12]}")
+def new_run(spark: SparkSession, name: str, run_id: str | None = None) -> StreamRun:
+    """Folders of a run: with a ``run_id`` the same ones each time, so that it resumes; else new ones."""
+    root = os.path.join(os.path.dirname(ensure_checkpoint_dir(spark).rstrip("/")) if run_id else ensure_checkpoint_dir(spark), "kiln-streams")
+    base = os.path.join(root, f"{name}-{run_id or uuid.uuid4().hex[:12]}")
     return StreamRun(os.path.join(base, "checkpoint"), os.path.join(base, "output"))
 
 
@@ -62,40 +74,89 @@ def event_time(df: DataFrame, col: str) -> DataFrame:
 
 # --- operators (streaming DataFrame in, streaming DataFrame out) --------------
 
-def stream_tool_usage(log: DataFrame, delay: str = "3650 days") -> DataFrame:
-    """Distinct (run, role, tool) per tool-call stream.
-
-    Duplicates arriving within ``delay`` of the first are dropped; state is
-    purged behind the watermark.
+def _first_seen(idle_ms: int) -> Callable:
+    """State of a (run, role): its tools, each with the first sequence number seen."""
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        names, numbers, last = state.get if state.exists else ([], [], 0)
+        if state.exists and last + idle_ms <= state.getCurrentWatermarkMs():       # idle for too long, though not timed out yet
+            names, numbers, last = [], [], 0
+        seen = dict(zip(names, numbers, strict=True))
+        for pdf in frames:
+            for tool, seq in pdf.groupby("tool_name", dropna=False)["seq"].min().items():
+                tool = None if pd.isna(tool) else tool
+                seen[tool] = min(seen.get(tool, seq), seq)
+            last = max(last, int(pdf["ms"].max()))
+        order = sorted(seen, key=lambda t: (seen[t], t or ""))
+        state.update((order, [int(seen[t]) for t in order], last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame([(*key, int(seen[order[0]]), order)], columns=["run_id", "agent_role", "first_seq", "tools"])
+    return update
+
+
+def stream_tools_by_role(log: DataFrame, delay: str = "1 day", idle_days: float = 7) -> DataFrame:
+    """The distinct tools of each (run, role) in first-seen order, as D6.
+
+    Rows of (run_id, agent_role, first_seq, tools): a new version of a key's row
+    whenever one of its calls arrives (update mode; see ``latest``).  State holds
+    the tools of a key, not its calls.  Calls older than ``delay`` before the newest
+    of the batches up to the last but one are dropped, and a key without calls for ``idle_days`` of event time is forgotten.
     """
     role = F.coalesce(F.nullif(F.col("agent_role"), F.lit("")), F.lit(reports.UNKNOWN_ROLE))
-    return (event_time(log, "ts").withColumn("agent_role", role)
-            .withWatermark("ts", delay)
-            .dropDuplicatesWithinWatermark(["run_id", "agent_role", "tool_name"])
-            .select("run_id", "agent_role", "tool_name"))
+    calls = event_time(log, "ts").withColumn("agent_role", role).withWatermark("ts", delay)
+    types = dict(log.dtypes)
+    schema = f"run_id {types['run_id']}, agent_role string, first_seq long, tools array<string>"
+    return (calls.select("run_id", "agent_role", "tool_name", F.col("seq").cast("long").alias("seq"), "ts",
+                         F.unix_millis("ts").alias("ms"))
+            .groupBy("run_id", "agent_role")
+            .applyInPandasWithState(_first_seen(int(idle_days * 86_400_000)), schema, "tools array<string>, seqs array<long>, last long", "update",
+                                    GroupStateTimeout.EventTimeTimeout))
 
 
 def stream_label_and_score(readings: DataFrame, model=None) -> DataFrame:
-    """Stateless labelling (and optional model scoring) of sensor readings."""
+    """Stateless labelling of sensor readings, and their scoring by a saved model (see ``ml.score_failures``)."""
     labelled = sensors.label_failures(readings)
-    return labelled if model is None else model.transform(labelled)
+    return labelled if model is None else ml.score_failures(model, labelled)
 
 
-def stream_weekly_cost(tickets: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Complaint compensation per Monday-start week (tumbling weeks).
+def wall_clock(ts: Column) -> Column:
+    """The instant at which clocks in UTC show ``ts``, whatever the session's time zone."""
+    return F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone())
 
-    The week is the Monday of the wall-clock (TIMESTAMP_NTZ) value, so the
-    buckets do not depend on the session time zone; the watermark runs on the
-    same instant cast to TIMESTAMP.  (``window(ts, WEEK, WEEK, MONDAY_OFFSET)``
-    gives the same weeks when the session zone is UTC.)
-    """
+
+def cost_events(cases: DataFrame, tickets: DataFrame) -> DataFrame:
+    """Both cost streams as one table of events: ts, maintenance and compensation amounts, whether a ticket."""
     rate = fixed_map(reports.COMPENSATION_RATES)
-    t = (tickets.withColumn("minggu", reports.monday_week(F.col("tanggal")))
-         .withColumn("_event_time", F.col("tanggal").cast("timestamp"))
-         .withWatermark("_event_time", delay))
-    return t.groupBy("minggu").agg(
-        F.sum(F.coalesce(rate[F.col("kategori")], F.lit(0))).cast("double").alias("biaya_kompensasi_cs_idr"),
-        F.count(F.lit(1)).alias("n_tickets"))
+    money = "decimal(18,2)"
+    return cases.select(
+        wall_clock(F.col("tanggal")).alias("ts"), F.col("biaya_perbaikan_idr").cast(money).alias("m"),
+        F.lit(0).cast(money).alias("c"), F.lit(0).alias("ticket"),
+    ).unionByName(tickets.select(
+        wall_clock(F.col("tanggal")).alias("ts"), F.lit(0).cast(money).alias("m"),
+        F.coalesce(rate[F.col("kategori")], F.lit(0)).cast(money).alias("c"), F.lit(1).alias("ticket")))
+
+
+def stream_weekly_cost(cases: DataFrame, tickets: DataFrame, delay: str = "30 days") -> DataFrame:
+    """Maintenance cost and complaint compensation per Monday-start week (tumbling event-time windows).
+
+    In append mode a week comes once, when the watermark has passed its end, and
+    its state is freed; events of weeks that are closed are dropped.  In update
+    mode open weeks come too, in versions.
+    """
+    events = cost_events(cases, tickets).withWatermark("ts", delay)
+    week = F.window("ts", "7 days", "7 days", "4 days")       # the epoch was a Thursday
+    return events.groupBy(week).agg(F.sum("m").alias("m"), F.sum("c").alias("c"), F.sum("ticket").alias("n_tickets")).select(
+        F.to_date(F.to_utc_timestamp(F.col("window.start"), F.current_timezone())).alias("minggu"),
+        F.col("m").cast("double").alias("biaya_maintenance_idr"), F.col("c").cast("double").alias("biaya_kompensasi_cs_idr"),
+        "n_tickets", (F.col("m").cast("double") + F.col("c").cast("double")).alias("total_biaya_operasional_idr"))
+
+
+def with_pending_vendors(weeks: DataFrame, vendors: DataFrame) -> DataFrame:
+    """The snapshot of pending vendors beside each week, as C5 has it."""
+    return weeks.select("minggu", "biaya_maintenance_idr", "biaya_kompensasi_cs_idr",
+                        reports.pending_vendor_count(vendors).alias("vendor_pending_count"), "total_biaya_operasional_idr")
 
 
 def stream_triage(questions: DataFrame) -> DataFrame:
@@ -132,13 +193,29 @@ def run_append(stream: DataFrame, run: StreamRun, timeout_s: float | None = None
     return stream.sparkSession.read.schema(stream.schema).parquet(run.output)
 
 
-def run_complete(stream: DataFrame, run: StreamRun, timeout_s: float | None = None) -> DataFrame:
-    """Drain an aggregating stream in ``complete`` mode; each micro-batch
-    rewrites the (small, windowed) result table idempotently."""
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(run.output)
+def run_batches(stream: DataFrame, run: StreamRun, mode: str = "append", finish: Callable[[DataFrame], DataFrame] = lambda d: d,
+                timeout_s: float | None = None) -> DataFrame:
+    """Drain a stream into one folder per micro-batch; returns all rows with their ``batch``.
+
+    ``finish`` completes a micro-batch as a plain DataFrame, say with a snapshot of
+    a table that no stream holds.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        finish(batch).write.mode("overwrite").parquet(os.path.join(run.output, f"batch={number}"))
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", run.checkpoint)
-         .outputMode("complete").trigger(availableNow=True).start())
+         .outputMode(mode).trigger(availableNow=True).start())
     _drain(q, timeout_s)
-    return stream.sparkSession.read.schema(stream.schema).parquet(run.output)
+    return read_batches(stream.sparkSession, run)
+
+
+def read_batches(spark: SparkSession, run: StreamRun) -> DataFrame:
+    """All rows of a run's sink, with the number of their ``batch``."""
+    return spark.read.option("basePath", run.output).parquet(run.output)
+
+
+def latest(versions: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest version of each key of a sink of batches."""
+    others = [c for c in versions.columns if c not in (*keys, "batch")]
+    return (versions.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("batch")).alias("_row"))
+            .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others]))
