@@ -26,7 +26,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -281,9 +281,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score of every row of ``docs``."""
-    model = docs.sparkSession.sparkContext.broadcast(field)
+    model = docs.sparkSession.sparkContext.broadcast(astuple(field))       # plain arrays: workers hold no classes of this package
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Field(*model.value)
         for batch in batches:
             lo, lines, texts = 0, 0, []
             for i, text in enumerate(batch.column(1)):
@@ -291,7 +292,7 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
                 lines += texts[-1].count(b"\n") + 1
                 if lines >= BATCH_LINES or i + 1 == batch.num_rows:
                     yield pa.record_batch({"doc_id": batch.column(0).slice(lo, i + 1 - lo),
-                                           "score": pa.array(scores(model.value, texts), pa.float64())})
+                                           "score": pa.array(scores(own, texts), pa.float64())})
                     lo, lines, texts = i + 1, 0, []
 
     return _bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
