@@ -21,7 +21,6 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +28,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiln.llm.common import materialize
+
 UNDETERMINED = "und"
 DICTIONARIES = 3                  # of each language
 DICTIONARY_BYTES = 64_000
@@ -39,7 +40,7 @@ SAMPLE_TEXTS = 400                # of each language at most: enough to fill its
 PIECE_BYTES = 4096
 LEVEL = 6
 MIN_MARGIN = 0.01                 # of the second best size: below, the answer is rejected
-_LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"
 
 
 def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -48,13 +49,13 @@ def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
         "lang is not null and text is not null")
     # texts of a good length first: others are taken only where a language lacks them
     far = (~F.length("text").between(*SAMPLE_CHARS)).cast("int")
-    narrow = texts.select("lang", far.alias("far"), F.xxhash64("text").alias("r"), "text").filter(
-        F.col("text").rlike("\\p{L}"))
+    hashed = texts.filter(F.col("text").rlike(LETTER)).select("lang", far.alias("far"), F.xxhash64("text").alias("r"), "text")
+    # choose by narrow keys, each once whatever the number of its copies; then fetch only the chosen texts, cut
     order = Window.partitionBy("lang").orderBy("far", "r")
-    # rank by hash, so that copies share a place
-    ranked = narrow.withColumn("place", F.dense_rank().over(order)).filter(F.col("place") <= SAMPLE_TEXTS)
-    return ranked.groupBy("lang", "place").agg(F.first("text").alias("text")).select("lang", "place", F.substring(
-        "text", 1, 8 * SAMPLE_CHARS[1]).alias("text"))
+    keys = hashed.select("lang", "far", "r").distinct().withColumn("place", F.row_number().over(order)).filter(
+        F.col("place") <= SAMPLE_TEXTS)
+    cut = hashed.select("lang", "far", "r", F.substring("text", 1, 8 * SAMPLE_CHARS[1]).alias("text"))
+    return cut.join(materialize(keys), ["lang", "far", "r"]).groupBy("lang", "place").agg(F.min("text").alias("text"))
 
 
 def dictionaries(samples: DataFrame, counts: dict[str, int]) -> dict[str, list[bytes]]:
@@ -100,9 +101,9 @@ class Classifier:
                 break
         return ranked
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
+    def predict(self, text: str | None, has_letter: bool | None) -> tuple[str, float, bool]:
         """(language, score, rejected)."""
-        if text is None or not self.langs or not _LETTER.search(text):
+        if text is None or not self.langs or not has_letter:
             return UNDETERMINED, 0.0, True
         ranked = self.sizes(text)
         if len(ranked) == 1:
@@ -124,15 +125,16 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
         model = Classifier(raw.value)
         for batch in batches:
             lang, score, rejected = [], [], []
-            for text in batch.column(1):
-                a, b, c = model.predict(text.as_py())
+            for text, has_letter in zip(batch.column(1), batch.column(2), strict=True):
+                a, b, c = model.predict(text.as_py(), has_letter.as_py())
                 lang.append(a)
                 score.append(b)
                 rejected.append(c)
             yield pa.record_batch({"doc_id": batch.column(0).cast(pa.int64()), "lang_pred": pa.array(lang, pa.string()),
                                    "score": pa.array(score, pa.float64()), "rejected": pa.array(rejected, pa.bool_())})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text.rlike(LETTER).alias("has_letter")).mapInArrow(
         run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 

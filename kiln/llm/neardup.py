@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from kiln.llm import shingles
 from kiln.llm.common import join_unique, materialize, row_struct
 from kiln.llm.graph import components
+from kiln.operators.indexing import row_index
 
 WIDTH = 5
 THRESHOLD_PERCENT = 75
@@ -245,15 +246,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _named(prints, named)
 
 
+def _with_nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_row, _id, _text and _node: a number for each (id, text) that rises with the id."""
+    rows = materialize(docs.select(row_struct(docs), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+                       .filter("_id is not null").withColumn("_key", F.struct("_id", F.sha2("_text", 256).alias("h"))))
+    nodes = row_index(rows.select("_key").distinct(), "_key", name="_node").select(
+        F.col("_key._id").alias("_nid"), F.coalesce("_key.h", F.lit("")).alias("_nh"), "_node")
+    same = (F.col("_key._id") == F.col("_nid")) & (F.coalesce("_key.h", F.lit("")) == F.col("_nh"))
+    return rows.join(nodes, same).select("_row", "_id", "_text", "_node")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest id, with its own columns.
 
-    Rows with a null id are kept.  Of several rows with the kept id one stays.
+    Rows with a null id are kept.  Different texts under one id are judged each
+    for itself, in order of their SHA-256; of rows with equal id and text one stays.
     """
+    rows = docs.select(row_struct(docs), F.col(id_col).cast("long").alias("_id"))
+    clash = (docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+             .filter("_id is not null").groupBy("_id").agg((F.min("h") != F.max("h")).alias("c")).filter("c"))
+    if not clash.isEmpty():
+        own = materialize(_with_nodes(docs, id_col, text_col))
+        found = near_duplicates(own.select(F.col("_node").alias("doc_id"), F.col("_text").alias("text")))
+        picked = materialize(found.filter("kept").select(F.col("doc_id").alias("_node")).distinct())
+        kept = own.select("_row", "_node").join(picked, "_node", "left_semi").dropDuplicates(["_node"])
+        return kept.select("_row").unionByName(rows.filter("_id is null").select("_row")).select("_row.*")
     found = materialize(near_duplicates(docs, id_col, text_col).filter("kept and doc_id is not null").select("doc_id"))
     ids = found.distinct()
     n = ids.count()
-    rows = docs.select(row_struct(docs), F.col(id_col).cast("long").alias("_id"))
     picked = ids.withColumnRenamed("doc_id", "_id")
     kept = rows.join(F.broadcast(picked) if n <= BROADCAST_IDS else picked, "_id", "left_semi")
     if found.count() > n:

@@ -400,6 +400,26 @@ def test_language(docs, rows):
     assert held == {r[0] for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2}
 
 
+def test_numerals_are_no_letters(spark, docs):
+    """Number characters of any kind leave the language open; a sample is drawn by narrow keys, copies once."""
+    odd = spark.createDataFrame([(0, "\u00bd", "de"), (1, "\u00b2\u00b3", "en"), (2, "\u2167 \u2460 12", None), (3, "a", None)],
+                                "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(odd, docs).collect()}
+    assert got[0] == got[1] == got[2] == ("und", 0.0) and got[3][0] != "und"
+    texts = [(k, f"some words of text number {k % 7}", "en") for k in range(70)] + [(99, "12", "en")]
+    drawn = langid.sample(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect()
+    assert sorted(r["text"] for r in drawn) == [f"some words of text number {k}" for k in range(7)]
+
+
+def test_keep_first_judges_texts_under_one_id(spark):
+    a, b, c = (" ".join(f"{p}{k}" for k in range(30)) for p in "xyz")
+    rows = [(1, a, "s"), (1, b, "s"), (2, b, "s"), (3, c, "s"), (4, a + " more", "s"), (4, c + " and", "s"), (5, a, "s"), (1, a, "s"),
+            (6, None, "s"), (6, "", "s"), (None, a, "s"), (4, "other words stand here in this text", "s")]
+    kept = neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string, _node string").repartition(3)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted(
+        [(1, a), (1, b), (3, c), (4, "other words stand here in this text"), (6, None), (6, ""), (None, a)], key=repr)
+
+
 def test_empty_tables(spark, empty):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     paths, _, findings = secrets.scan_versions(empty)
