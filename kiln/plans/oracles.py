@@ -167,6 +167,9 @@ SELECT query_id, array_to_string(intents, ',') AS intents,
     f"CASE WHEN len(id_{t}) > 0 THEN '{t}:' || array_to_string(id_{t}, ',') END" for t in ID_PATTERNS) + """) AS ids
 FROM triaged""", "v_queries")
 
+ORACLES["classify_by_lexicon"] = with_views(TRIAGED + """
+SELECT query_id, array_to_string(intents, ',') AS intents FROM triaged""", "v_queries")
+
 IDS_LONG = TRIAGED + """,
 ids AS (""" + "\n  UNION ALL ".join(
     f"SELECT query_id, '{t}' AS id_type, CAST(generate_subscripts(id_{t}, 1) - 1 AS INTEGER) AS pos, unnest(id_{t}) AS id FROM triaged"
@@ -239,7 +242,8 @@ ORACLES["vendor_lookup"] = with_views("""
 SELECT k.key_id, k.key, min(v.row_order) AS row_order,
        arg_min(v.vendor_id, v.row_order) AS vendor_id, arg_min(v.nama_vendor, v.row_order) AS nama_vendor,
        arg_min(v.dokumen_belum_lengkap, v.row_order) AS dokumen_belum_lengkap,
-       arg_min(v.status_validasi, v.row_order) AS status_validasi,
+       arg_min(v.status_validasi, v.row_order) AS status_validasi, arg_min(v.kategori, v.row_order) AS kategori,
+       arg_min(v.kelengkapan_dokumen_pct, v.row_order) AS kelengkapan_dokumen_pct, arg_min(v.skor_risiko, v.row_order) AS skor_risiko,
        CAST(CASE WHEN count(v.vendor_id) > 0 THEN 1 ELSE 0 END AS INTEGER) AS found
 FROM v_vendor_keys k LEFT JOIN v_vendors v
   ON length(k.key) > 0 AND (contains(lower(v.vendor_id), lower(k.key)) OR contains(lower(v.nama_vendor), lower(k.key)))

@@ -70,6 +70,11 @@ def latency_summary(spark, sf_dir):
     return reports.latency_summary(Ctx(spark, sf_dir).tool_log)
 
 
+@register
+def latency_quantiles(spark, sf_dir):
+    return reports.merged_quantiles(reports.latency_sketches(Ctx(spark, sf_dir).tool_log))
+
+
 # --- sensors ------------------------------------------------------------------
 
 @register
@@ -117,6 +122,12 @@ def triage(spark, sf_dir):
                     triage_ops.ids_text(F.col("ids")).alias("ids"))
 
 
+@register
+def classify_by_lexicon(spark, sf_dir):
+    found = triage_ops.classify_by_lexicon(Ctx(spark, sf_dir).queries, triage_ops.lexicon_table(spark))
+    return found.select("query_id", F.array_join("intents", ",").alias("intents"))
+
+
 @register
 def extract_ids(spark, sf_dir):
     return lookup.exploded_ids(_triaged(Ctx(spark, sf_dir)))

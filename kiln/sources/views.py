@@ -54,6 +54,9 @@ FROM {lineitem} GROUP BY l_orderkey""",
     # vendor profiles
     "v_vendors": """
 SELECT concat('VND-', lpad(CAST(s_suppkey AS VARCHAR(20)), CAST(greatest(4, length(CAST(s_suppkey AS VARCHAR(20)))) AS INTEGER), '0')) AS vendor_id, s_name AS nama_vendor,
+ CASE s_suppkey % 3 WHEN 0 THEN 'Bahan Baku' WHEN 1 THEN 'Jasa Logistik' ELSE 'Suku Cadang' END AS kategori,
+ CAST(CASE s_suppkey % 4 WHEN 0 THEN 100 WHEN 1 THEN 60 WHEN 2 THEN 80 ELSE 40 END AS DOUBLE) + CAST(s_suppkey % 10 AS DOUBLE) / 10 AS kelengkapan_dokumen_pct,
+ CASE s_suppkey % 4 WHEN 0 THEN 'Rendah' WHEN 3 THEN 'Tinggi' ELSE 'Sedang' END AS skor_risiko,
  CASE s_suppkey % 4 WHEN 0 THEN '-' WHEN 1 THEN 'NPWP; Sertifikat ISO 9001' WHEN 2 THEN 'NDA'
                     ELSE 'SIUP; Kontrak Kerjasama; NDA' END AS dokumen_belum_lengkap,
  CASE s_suppkey % 4 WHEN 0 THEN 'Lengkap - Aktif' WHEN 3 THEN 'Tertunda - Dokumen Kurang'
