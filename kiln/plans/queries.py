@@ -246,11 +246,12 @@ def citation_coverage(spark, sf_dir):
     return retrieval.citation_coverage(_conversation_queries(c), responses, CONV_KEYS)
 
 
-def _hybrid(c: Ctx) -> DataFrame:
+def _hybrid(c: Ctx, triaged: DataFrame | None = None) -> DataFrame:
     # read by the index build several times (counts, ids, size)
     history = materialize(_case_history(c))
     index = tfidf.fit_index(history, "doc_id", "text").cache()
-    return retrieval.hybrid_search(_triaged_once(c), index, c.tickets, c.cases, _labelled_sensors(c), 3)
+    asked = _triaged_once(c) if triaged is None else triaged
+    return retrieval.hybrid_search(asked, index, c.tickets, c.cases, _labelled_sensors(c), 3)
 
 
 @register
@@ -307,6 +308,13 @@ def dense_search(spark, sf_dir):
     return dense.dense_search(emb, emb, 5, q_key="vec_id", d_key="vec_id", dim=64)
 
 
+@register
+def embedding_search(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    asked = _conversation_queries(c).select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), "query")
+    return dense.text_search(asked, c.t.documents, 3, dense.hashed_projections(64), 64)
+
+
 @register
 def running_context(spark, sf_dir):
     steps = answers.agent_output(answers.plan_steps(_triaged(Ctx(spark, sf_dir))))
@@ -444,7 +452,8 @@ def answer_facts(spark, sf_dir):
     vendor_ids = lookup.exploded_ids(tri).filter(F.col("id_type") == "vendor_id")
     gaps = lookup.vendor_gap_report(c.vendors, lookup.checklist(spark))
     summary = reports.cost_summary(_weekly(c), 4)
-    return answers.answer_facts(answers.plan_steps(tri), _hybrid(c), sop_hits, gaps, vendor_ids, summary)
+    # nothing runs for questions out of scope
+    return answers.answer_facts(answers.plan_steps(tri), _hybrid(c, tri.filter("in_scope")), sop_hits, gaps, vendor_ids, summary)
 
 
 @register
