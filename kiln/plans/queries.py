@@ -462,6 +462,7 @@ def evaluate_all(spark, sf_dir):
     conv = _conversation_queries(c)
     # one top-2 search serves both: top-1 is its first rank
     top2 = materialize(_sop_hits(c, 2))
+    # fixed values: the names of metrics and components
     frames = {
         "accuracy": metrics.classification_scores(_rule_predictions(c)),
         "explainability": retrieval.citation_coverage(

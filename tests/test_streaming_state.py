@@ -6,7 +6,6 @@ import os
 import shutil
 
 import pytest
-from pyspark.sql import functions as F
 
 from kiln.operators import ml, reports, sensors
 from kiln.plans.context import Ctx
