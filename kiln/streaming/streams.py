@@ -39,6 +39,10 @@ from kiln.session import ensure_checkpoint_dir
 from kiln.sources.tables import table_path
 from kiln.sources.views import VIEW_DEPS, VIEW_SQL
 
+STATE_BUCKETS = 4096         # of the keys of a stream: a constant, as a checkpoint's state lies in them
+NO_NUMBER = (1 << 63) - 1    # stands for a call without a sequence number: after all others
+
+
 @dataclass
 class StreamRun:
     checkpoint: str
@@ -75,24 +79,39 @@ def event_time(df: DataFrame, col: str) -> DataFrame:
 # --- operators (streaming DataFrame in, streaming DataFrame out) --------------
 
 def _first_seen(idle_ms: int) -> Callable:
-    """State of a (run, role): its tools, each with the first sequence number seen."""
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    """State of a bucket of (run, role) keys: of each its tools, each with the first sequence number seen, and its last call.
+
+    A call into Python for each key would cost more than the key's calls.
+    """
+    def update(bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        # keys idle for too long are forgotten
+        held = {(run, role): (dict(zip(names, numbers, strict=True)), last)
+                for run, role, names, numbers, last in (zip(*state.get, strict=True) if state.exists else ()) if last + idle_ms > now}
+        changed = {}
+        if not state.hasTimedOut:
+            for pdf in frames:
+                text = [[v if isinstance(v, str) else None for v in pdf[c].to_numpy()] for c in ("run_id", "agent_role", "tool_name")]
+                for run, role, tool, seq, ms in zip(*text, pdf["seq"].tolist(), pdf["ms"].tolist(), strict=True):
+                    seen, last = held.get((run, role), (None, 0))
+                    if seen is None:
+                        seen = {}
+                    if seq < seen.get(tool, NO_NUMBER + 1):
+                        seen[tool] = seq
+                    held[run, role] = changed[run, role] = (seen, max(last, ms))
+        if not held:
             state.remove()
-            return
-        names, numbers, last = state.get if state.exists else ([], [], 0)
-        if state.exists and last + idle_ms <= state.getCurrentWatermarkMs():       # idle for too long, though not timed out yet
-            names, numbers, last = [], [], 0
-        seen = dict(zip(names, numbers, strict=True))
-        for pdf in frames:
-            for tool, seq in pdf.groupby("tool_name", dropna=False)["seq"].min().items():
-                tool = None if pd.isna(tool) else tool
-                seen[tool] = min(seen.get(tool, seq), seq)
-            last = max(last, int(pdf["ms"].max()))
-        order = sorted(seen, key=lambda t: (seen[t], t or ""))
-        state.update((order, [int(seen[t]) for t in order], last))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame([(*key, int(seen[order[0]]), order)], columns=["run_id", "agent_role", "first_seq", "tools"])
+        else:
+            rows = [(run, role, list(seen), list(seen.values()), last) for (run, role), (seen, last) in held.items()]
+            state.update(tuple(map(list, zip(*rows, strict=True))))
+            state.setTimeoutTimestamp(max(min(r[-1] for r in rows), now) + idle_ms)
+        if changed:
+            out = []
+            for (run, role), (seen, _) in changed.items():
+                order = sorted(seen, key=lambda t, seen=seen: (seen[t], t or ""))
+                out.append((run, role, seen[order[0]], order))
+            out = pd.DataFrame(out, columns=["run_id", "agent_role", "first_seq", "tools"])
+            yield out
     return update
 
 
@@ -101,18 +120,22 @@ def stream_tools_by_role(log: DataFrame, delay: str = "1 day", idle_days: float
 
     Rows of (run_id, agent_role, first_seq, tools): a new version of a key's row
     whenever one of its calls arrives (update mode; see ``latest``).  State holds
-    the tools of a key, not its calls.  Calls older than ``delay`` before the newest
+    the tools of a key, not its calls, and lies in ``STATE_BUCKETS`` buckets of keys.  Calls older than ``delay`` before the newest
     of the batches up to the last but one are dropped, and a key without calls for ``idle_days`` of event time is forgotten.
     """
     role = F.coalesce(F.nullif(F.col("agent_role"), F.lit("")), F.lit(reports.UNKNOWN_ROLE))
     calls = event_time(log, "ts").withColumn("agent_role", role).withWatermark("ts", delay)
     types = dict(log.dtypes)
-    schema = f"run_id {types['run_id']}, agent_role string, first_seq long, tools array<string>"
-    return (calls.select("run_id", "agent_role", "tool_name", F.col("seq").cast("long").alias("seq"), "ts",
-                         F.unix_millis("ts").alias("ms"))
-            .groupBy("run_id", "agent_role")
-            .applyInPandasWithState(_first_seen(int(idle_days * 86_400_000)), schema, "tools array<string>, seqs array<long>, last long", "update",
-                                    GroupStateTimeout.EventTimeTimeout))
+    schema = "run_id string, agent_role string, first_seq long, tools array<string>"
+    held = "runs array<string>, roles array<string>, tools array<array<string>>, seqs array<array<long>>, lasts array<long>"
+    bucket = F.pmod(F.xxhash64("run_id", "agent_role"), F.lit(STATE_BUCKETS)).cast("int")
+    found = (calls.select(bucket.alias("_bucket"), F.col("run_id").cast("string").alias("run_id"), "agent_role", "tool_name",
+                          F.coalesce(F.col("seq").cast("long"), F.lit(NO_NUMBER)).alias("seq"), "ts",
+                          F.coalesce(F.unix_millis("ts"), F.lit(0)).alias("ms"))
+             .groupBy("_bucket")
+             .applyInPandasWithState(_first_seen(int(idle_days * 86_400_000)), schema, held, "update", GroupStateTimeout.EventTimeTimeout))
+    return found.select(F.col("run_id").cast(types["run_id"]).alias("run_id"), "agent_role",
+                        F.nullif(F.col("first_seq"), F.lit(NO_NUMBER)).alias("first_seq"), "tools")
 
 
 def stream_label_and_score(readings: DataFrame, model=None) -> DataFrame:

@@ -159,3 +159,40 @@ def test_run_id_gives_the_same_folders(spark):
     assert a == b != streams.new_run(spark, "n")
     with pytest.raises(AssertionError):
         assert streams.new_run(spark, "n") == streams.new_run(spark, "n")
+
+
+class Held:
+    """The state of a bucket that has none yet."""
+
+    exists = hasTimedOut = False
+
+    def update(self, value):
+        self.value = value
+
+    def setTimeoutTimestamp(self, ms):
+        self.timeout = ms
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def test_one_call_for_a_bucket_of_keys():
+    frames = [streams.pd.DataFrame({"run_id": ["1", "1", None], "agent_role": ["r", "r", "s"], "tool_name": ["b", "a", None],
+                                    "seq": [5, 7, 6], "ms": [1, 3, 2]}),
+              streams.pd.DataFrame({"run_id": ["1", None], "agent_role": ["r", "s"], "tool_name": ["a", None], "seq": [4, streams.NO_NUMBER],
+                                    "ms": [9, 8]})]
+    held = Held()
+    out, = streams._first_seen(100)((0,), iter(frames), held)
+    assert out.values.tolist() == [["1", "r", 4, ["a", "b"]], [None, "s", 6, [None]]]
+    assert held.value == (["1", None], ["r", "s"], [["b", "a"], [None]], [[5, 4], [6]], [9, 8]) and held.timeout == 108
+
+
+def test_keys_that_share_a_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "STATE_BUCKETS", 1)
+    test_tools_in_first_seen_order_over_batches(spark, tmp_path / "order")
+    feed = Feed(spark, tmp_path / "log", LOG)
+    feed.add([call(1, 0, 1, "a", "x"), call(2, 3, 2, "a", "x")])
+    feed.add([call(3, 14, 3, "a", "x")])                 # the watermark moves on to hour 12: run 1 is idle, run 2 is not
+    feed.add([call(4, 14, 1, "a", "new"), call(5, 14, 2, "a", "y"), call(6, 14, None, "a", "z")])
+    got = tools(spark, run_tools(spark, feed, streams.new_run(spark, "t")))
+    assert got == {(1, "a"): (4, ["new"]), (2, "a"): (2, ["x", "y"]), (3, "a"): (3, ["x"]), (None, "a"): (6, ["z"])}
