@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kiln.operators import indexing, metrics, sensors, smote, split
+from kiln.operators import indexing, metrics, ml, sensors, smote, split
 
 COUNTS = {"keterlambatan_pengiriman": 57, "produk_cacat": 32, "retur_barang": 22, "eskalasi_kritikal": 9}
 
@@ -87,3 +87,34 @@ def test_smote_balances_and_stays_in_hull(spark):
     assert all(r.n_total == 40 and r.within_bounds == 1 for r in summ.values())
     c = out.filter("label = 'C'").select("features").distinct().collect()
     assert [list(r.features) for r in c] == [[-7.0, -7.0]]
+
+
+def test_labels_are_joined_without_a_shuffle(spark):
+    """Most rows have one label: dealt out by label they would meet in one task."""
+    df = spark.createDataFrame([(i, "a" if i % 10 else None) for i in range(100)], "id int, label string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (split.stratified_split(df, "id"), split.with_class_weight(df)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and not [x for x in plan.splitlines() if "SortMergeJoin" in x and "_bucket" not in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_classifier_learns_in_as_many_partitions_as_cores(spark, monkeypatch):
+    seen = []
+    fit = ml.Pipeline.fit
+    monkeypatch.setattr(ml.Pipeline, "fit", lambda self, df: (seen.append(df.rdd.getNumPartitions()), fit(self, df))[1])
+    rows = spark.createDataFrame([(f"word{i % 2} text", "ab"[i % 2]) for i in range(60)], "text string, label string").repartition(30)
+    model = ml.train_complaint_classifier(rows, buckets=64, max_iter=5)
+    assert seen == [spark.sparkContext.defaultParallelism]
+    got = ml.classify_complaints(model, rows).select("label", "predicted_label").distinct().collect()
+    assert sorted(map(tuple, got)) == [("a", "a"), ("b", "b")]
+
+
+def test_forest_rows_of_a_task_are_bounded(spark, monkeypatch):
+    rows = spark.createDataFrame([(i,) for i in range(100)], "x int").coalesce(2)
+    assert ml._in_parts(rows).rdd.getNumPartitions() == 2
+    monkeypatch.setattr(ml, "FOREST_ROWS", 15)
+    assert ml._in_parts(rows).rdd.getNumPartitions() == 7
