@@ -118,3 +118,23 @@ def test_forest_rows_of_a_task_are_bounded(spark, monkeypatch):
     assert ml._in_parts(rows).rdd.getNumPartitions() == 2
     monkeypatch.setattr(ml, "FOREST_ROWS", 15)
     assert ml._in_parts(rows).rdd.getNumPartitions() == 7
+
+
+def test_rank_in_place_equals_rank_by_window(spark):
+    rows = [(i, [None, "a", "b", "b", "b"][i % 5]) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, label string").repartition(5)
+    a, b = (indexing.row_index(df.withColumn("h", split.row_hash(F.col("id"))), "h", ("label",), ranges=7, in_place=p) for p in (True, False))
+    assert {tuple(r) for r in a.collect()} == {tuple(r) for r in b.select(a.columns).collect()}
+
+
+def test_smote_takes_the_rank_of_the_split(spark, monkeypatch):
+    rows = [(i, ["a", "b", "b", "b"][i % 4], float(i % 17), float(i % 5)) for i in range(200)]
+    train = split.stratified_split(spark.createDataFrame(rows, "id long, label string, x double, y double"), "id", "label")
+    train = train.filter("split = 'train'").cache()
+    plain = {str(r) for r in smote.smote(train, "id", "label", ["x", "y"]).collect()}
+
+    def ranked_again(*args, **kwargs):
+        raise AssertionError("the rows have a rank")
+    monkeypatch.setattr(smote, "row_index", ranked_again)
+    known = smote.smote(train, "id", "label", ["x", "y"], rank_col="class_rank")
+    assert {str(r) for r in known.collect()} == plain and len(plain) == 2 * 120
