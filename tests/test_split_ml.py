@@ -138,3 +138,12 @@ def test_smote_takes_the_rank_of_the_split(spark, monkeypatch):
     monkeypatch.setattr(smote, "row_index", ranked_again)
     known = smote.smote(train, "id", "label", ["x", "y"], rank_col="class_rank")
     assert {str(r) for r in known.collect()} == plain and len(plain) == 2 * 120
+
+
+def test_smote_summary_reads_the_rows_once(spark):
+    rows = [("a", 0, [0.0, 1.0]), ("a", 0, [2.0, 1.0]), ("a", 1, [1.0, 1.0]), ("b", 0, [5.0, 5.0]), ("b", 1, [5.0, 6.0]),
+            (None, 0, [1.0, None]), ("c", 0, []), ("d", 0, [0.0, 0.0]), ("d", 1, [float("nan"), 0.0])]
+    out = smote.smote_summary(spark.createDataFrame(rows, "y string, is_synthetic int, features array<double>").withColumn(
+        "sample_id", F.lit("s")), "y")
+    assert {tuple(r) for r in out.collect()} == {("a", 2, 1, 3, 1), ("b", 1, 1, 2, 0), (None, 1, 0, 1, 1), ("c", 1, 0, 1, 1), ("d", 1, 1, 2, 0)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
